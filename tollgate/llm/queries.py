@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, license_scan, line_dedup, mixing, near_dedup, oracles, quality_rules, url_filter
+from . import byte_bpe, language_id, license_scan, line_dedup, mixing, near_dedup, oracles, quality_rules, url_filter
 from .common import table
 
 
@@ -19,6 +19,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    model = language_id.train(docs.where("not held_out"))
+    return language_id.identify(docs.drop("lang"), model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
