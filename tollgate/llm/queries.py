@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, license_scan, line_dedup, mixing, near_dedup, oracles, quality_rules, url_filter
-from .common import table
+from . import byte_bpe, language_id, license_scan, line_dedup, mixing, near_dedup, oracles, quality_rules, sharding, url_filter, vector_search
+from .common import shared_folder, table
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals of 512 neighbouring doc_ids each, compacted; every document with its place."""
+    store = sharding.ShardStore(spark, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
+    size = F.octet_length("text")
+    store.append(table(spark, sf_dir, "documents"), F.floor(F.col("doc_id") / 512), size)
+    store.compact()
+    places = store.manifest().select("arrival", F.col("run").alias("run_id"), "tier", F.col("file").alias("file_no"))
+    return store.read().select("doc_id", "arrival", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5")).join(places, "arrival")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +36,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.drop("lang"), model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
