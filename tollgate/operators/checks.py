@@ -65,7 +65,7 @@ def payload_checks(raw: DataFrame, column: str = "data") -> DataFrame:
         _failing("pan_like_runs", raw, text.rlike(r"(^|\D)\d{13,19}(\D|$)")),
         _failing("token_leak", raw, reduce(lambda a, b: a | b, (text.contains(t) for t in FORBIDDEN_TOKENS))),
         _failing("forbidden_keys", raw, F.arrays_overlap(keys, F.array(*map(F.lit, FORBIDDEN_KEYS)))),
-        _failing("luhn_pan", raw, F.exists(digits, lambda d: F.luhn_check(d))),
+        _failing("luhn_pan", raw, F.exists(digits, lambda d: F.call_function("luhn_check", d))),
         _failing("iban_like", raw, text.rlike(r'"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"')),
     )
 
