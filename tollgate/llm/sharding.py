@@ -10,8 +10,8 @@ it to its version number. A rename is atomic and fails if another writer took th
 version and open only the folders it names, so a lost job leaves nothing visible, and runs are never changed.
 
 Defined cases: a null arrival key is the arrival -1; null texts count no bytes; empty arrivals make no runs and an empty
-table an empty manifest; repeated rows stay; all columns are stored, the operator's own names (``arrival``, ``run``,
-``file``) replacing clashing ones.
+table an empty manifest; repeated rows stay; all columns are stored but ``arrival``, ``run``, ``file`` and ``parts``,
+which are the operator's own names.
 """
 
 from __future__ import annotations
@@ -64,6 +64,7 @@ class ShardStore:
         v, old = self.version(), self.manifest()
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         keyed = rows.withColumn("n_bytes__", F.coalesce(n_bytes, F.lit(0)).cast("long")).withColumn("arrival", F.coalesce(arrival.cast("long"), F.lit(-1).cast("long")))
+        keyed = keyed.drop("run", "file", "parts")
         keyed.repartition("arrival").write.partitionBy("arrival").parquet(folder)
         stored = self.spark.read.option("recursiveFileLookup", "false").parquet(folder) if not self._empty(folder) else None
         if stored is None:
@@ -76,7 +77,7 @@ class ShardStore:
         return not any(x.getPath().getName().startswith("arrival=") for x in self.fs.listStatus(self.path(folder)))
 
     def plan(self) -> DataFrame:
-        """The manifest's rows with the run, tier, file and parts that compaction gives them.
+        """The manifest's rows with the run, tier, file and parts that compaction gives them, and was: their run until now.
 
         Each round numbers the runs of a tier in arrival order and joins full groups of ``fan`` neighbours; a merged run
         is known by its first arrival. The manifest is metadata: a row an arrival.
@@ -96,27 +97,29 @@ class ShardStore:
             tier = F.when(F.col("n") > 1, F.greatest(self._tier(F.col("run_bytes")), F.col("was") + 1)).otherwise(F.col("was")).cast("int")
             level = level.select(F.col("to").alias("run"), tier.alias("tier"), "run_bytes")
             names = names.join(put.select(F.col("run").alias("to"), F.col("to").alias("next")), "to").select("run", F.col("next").alias("to"))
-        placed = held.drop("tier", "file", "parts").join(names, "run").join(level.select(F.col("run").alias("to"), "tier"), "to").drop("run").withColumnRenamed("to", "run")
+        placed = held.drop("tier", "file", "parts").withColumnRenamed("run", "was").join(names.withColumnRenamed("run", "was"), "was").join(level.select(F.col("run").alias("to"), "tier"), "to").withColumnRenamed("to", "run")
         ahead = F.coalesce(F.sum("n_bytes").over(W.partitionBy("run").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         parts = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / F.lit(float(self.target)))).cast("int")
-        return placed.select("arrival", "run", "tier", F.floor(ahead / F.lit(float(self.target))).cast("long").alias("file"), parts.alias("parts"), "n_rows", "n_bytes", "folder")
+        return placed.select("arrival", "run", "tier", F.floor(ahead / F.lit(float(self.target))).cast("long").alias("file"), parts.alias("parts"), "n_rows", "n_bytes", "folder", "was")
 
     def compact(self) -> int:
         """Rewrites what the plan moves into target-sized files and commits; runs that stay are not touched."""
         v, folder = self.version(), f"{self.root}/data/{uuid.uuid4().hex}"
         draft = f"{self.root}/plans/{uuid.uuid4().hex}"
-        alone = F.count("*").over(W.partitionBy("run")) == 1
-        self.plan().withColumn("stays", alone & F.col("folder").endswith(F.concat(F.lit("arrival="), F.col("arrival").cast("string")))).write.parquet(draft)
+        own = W.partitionBy("run")
+        self.plan().withColumn("stays", F.min("was").over(own) == F.max("was").over(own)).write.parquet(draft)
         plan = self.spark.read.parquet(draft)
         moved = plan.where("not stays")
         if moved.isEmpty():
             return v
-        rows = self._rows(moved).join(moved.select("arrival", "run", "file", "parts"), "arrival")
+        rows = self._rows(moved).drop("run", "file").join(moved.select("arrival", "run", "file", "parts"), "arrival")
         # an arrival over the target takes the numbers after its file's, one a part
-        part = F.col("file") + F.pmod(F.xxhash64("n_bytes__", *[c for c in rows.columns if c not in ("arrival", "run", "file", "parts", "n_bytes__")][:1]), F.col("parts"))
-        rows.withColumn("file", part).drop("parts").repartition("run", "file").write.partitionBy("run", "file").parquet(folder)
+        spread = F.xxhash64(*(c for c in rows.columns if c not in ("arrival", "run", "file", "parts")))
+        rows = rows.withColumn("file", F.col("file") + F.pmod(spread, F.col("parts"))).drop("parts")
+        rows.repartition("run", "file").write.partitionBy("run", "file").parquet(folder)
         new = moved.withColumn("folder", F.concat(F.lit(f"{folder}/run="), F.col("run").cast("string")))
-        return self.commit(plan.where("stays").drop("stays").unionByName(new.drop("stays")), v)
+        kept = self.manifest().join(plan.where("stays").select("arrival"), "arrival", "left_semi")
+        return self.commit(kept.unionByName(new.drop("stays", "was")), v)
 
     def _rows(self, manifest: DataFrame) -> DataFrame:
         """Rows of the manifest's runs; the folders are as many as runs."""
