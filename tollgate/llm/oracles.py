@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import TEMPLATES
 from .quality_rules import BOILERPLATE
 
 SQL: dict[str, str] = {}
@@ -46,3 +47,49 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        n_lines, n_good_lines, cleaned_md5
 from judged
 """
+
+SQL["op8_line_dedup"] = r"""
+with base as (select row_number() over () as rid, doc_id, text, coalesce('s' || source, '') as site, string_split(text, chr(10)) as ls from documents),
+l as (select rid, doc_id, site, unnest(ls) as line, unnest(range(len(ls))) as pos from base),
+k as (select *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as key from l where len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 2),
+s as (select key, min({'d': doc_id, 'p': pos}) as first from k group by key having count(distinct site) >= 6),
+gone as (select rid, pos from k join s using (key) where {'d': doc_id, 'p': pos} != first),
+held as (select rid, string_agg(line, chr(10) order by pos) as text from l anti join gone using (rid, pos) group by rid)
+select doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(n, 0)::bigint as n_removed, md5(case when b.text is null then null else coalesce(h.text, '') end) as text_md5
+from base b left join held h using (rid) left join (select rid, count(*) as n from gone group by rid) using (rid)
+"""
+
+_NOTICES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in sorted(TEMPLATES.items()))
+_BIGRAMS = r"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+_CUT = r"list_filter(string_split(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x != '')"
+SQL["op9_license_scans"] = f"""
+with notices(licence, notice) as (values {_NOTICES}),
+tw as (select licence, {_CUT.format(t="notice")} as w from notices), t as (select licence, {_BIGRAMS.format(w="w")} as b from tw),
+l as (select row_number() over () as rid, * from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from documents)),
+lw as (select rid, doc_id, line_no, {_CUT.format(t="line")} as w from l), a as (select rid, doc_id, line_no, {_BIGRAMS.format(w="w")} as a from lw where len(w) >= 2),
+m as (select rid, doc_id, line_no, licence, len(list_intersect(a, b)) as n_shared, len(a) as n_line, len(b) as n_template from a, t where 80 * len(b) <= 120 * len(a) and 80 * len(a) <= 120 * len(b)),
+r as (select *, row_number() over (partition by rid order by 2.0::double * n_shared / (n_line + n_template) desc, licence) as nth from m where 200 * n_shared >= 80 * (n_line + n_template))
+select doc_id, line_no, licence, n_shared::bigint as n_shared, n_line::bigint as n_line, n_template::bigint as n_template, 2.0::double * n_shared / (n_line + n_template) as dice from r where nth = 1
+"""
+
+
+def _tier(size: str) -> str:
+    return f"cast(greatest(0, floor(ln(greatest({size}, 1) / 1048576.0::double) / ln(4.0::double) + 1e-9)) as int)"
+
+
+def _rounds(n: int) -> str:
+    out = f"l0 as (select arrival as run, {_tier('n_bytes')} as tier, n_bytes from a), n0 as (select run, run as dest from l0)"
+    for i in range(n):
+        out += f""", p{i} as (select run, tier, n_bytes, case when count(*) over (partition by tier, g) = 4 then min(run) over (partition by tier, g) else run end as dest
+          from (select *, (row_number() over (partition by tier order by run) - 1) // 4 as g from l{i})),
+        l{i + 1} as (select dest as run, case when count(*) > 1 then greatest({_tier("sum(n_bytes)")}, max(tier) + 1) else max(tier) end as tier, sum(n_bytes) as n_bytes from p{i} group by dest),
+        n{i + 1} as (select n{i}.run, p{i}.dest from n{i} join p{i} on n{i}.dest = p{i}.run)"""
+    return out
+
+
+SQL["op1_sharding"] = f"""
+with d as (select coalesce(cast(floor(doc_id / 512) as bigint), -1) as arrival, doc_id, cast(strlen(text) as bigint) as n_bytes, md5(text) as text_md5 from documents),
+a as (select arrival, sum(coalesce(n_bytes, 0)) as n_bytes from d group by arrival), {_rounds(8)},
+f as (select a.arrival, n8.dest as run_id, cast(floor(coalesce(sum(a.n_bytes) over (partition by n8.dest order by a.arrival rows between unbounded preceding and 1 preceding), 0) / 134217728.0::double) as bigint) as file_no from a join n8 on a.arrival = n8.run)
+select d.arrival, doc_id, d.n_bytes, text_md5, run_id, l8.tier, file_no from d join f using (arrival) join l8 on l8.run = f.run_id
+"""
