@@ -2,16 +2,17 @@
 
 Three steps in one narrow stage, without a shuffle:
 
-1. ``_split`` (Arrow) cuts texts by the tokenizer's pattern and numbers the distinct pieces of a block of documents, so
-   that a piece is merged once a block and not once an occurrence.
+1. ``_split`` (Arrow) cuts texts by the tokenizer's pattern and numbers a partition's distinct pieces; each block of
+   documents carries the pieces that are new, so that a piece is merged once and not once an occurrence.
 2. ``merged`` (Spark) folds the ranked merges over each piece's byte tokens. The rank map is a literal: a map literal is
    searched from end to end, so it is laid out as a perfect hash of token pairs in two literal arrays, and a lookup
    costs the same for any pair.
 3. ``_join`` (Arrow) writes every document's ids from its pieces' ids, and decodes the ids again by concatenating the
    binary pieces they stand for.
 
-A block ends at the first document that brings it to ``block_bytes`` of text; so memory is bounded by that and by the
-longest text. Texts are read whole.
+A block ends at the first document that brings it to ``block_bytes`` of text. After ``MOST_PIECES`` distinct pieces the
+numbering starts anew, which repeats merges but changes no result; so memory is bounded by these two and by the longest
+text. Texts are read whole.
 
 Defined cases: null and empty texts have no ids and decode to nothing; repeated rows give equal rows; columns other than
 ``doc_id`` and ``text`` are not read; an empty table gives an empty result.
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import let
 
 #: Primes whose product exceeds every pair key (left << 16 | right), so two keys never agree in both remainders.
-BUCKETS, SLOTS = 65_537, 262_139
-NO_RANK = 1 << 17
+BUCKETS, SLOTS = 65_537, 131_071
+NO_RANK = 1 << 16
+MOST_PIECES = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,59 +68,66 @@ def perfect_hash(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
     return shift, slots
 
 
-def merged(tokens: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of one piece from its byte tokens (array<int>): always the leftmost of the lowest-ranked pairs is joined."""
+def rank_tables(ranks: dict[bytes, int]) -> Column:
+    """The literal rank map: struct of the two arrays of the perfect hash."""
     shift, slots = perfect_hash(pair_ranks(ranks))
     literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-    shift_by, slot = literal(shift), literal(slots)
+    return F.struct(literal(shift).alias("shift"), literal(slots).alias("slots"))
+
+
+def merged(tokens: Column, tables: Column) -> Column:
+    """The ids of one piece from its byte tokens (array<bigint>): always the leftmost of the lowest-ranked pairs is joined."""
+    none = F.array().cast("array<bigint>")
 
     def rank(left: Column, right: Column) -> Column:
-        key = F.shiftleft(left.cast("long"), 16).bitwiseOR(right.cast("long"))
-        at = lambda k: F.get(slot, ((k % SLOTS + F.get(shift_by, (k % BUCKETS).cast("int"))) % SLOTS).cast("int"))
-        return let(key, lambda k: let(at(k), lambda v: F.when(F.shiftright(v, 16) == k, v.bitwiseAND(F.lit(65_535).cast("long")).cast("int")).otherwise(F.lit(NO_RANK))))
+        """The pair's rank; whatever has none gets NO_RANK or more, as the slot then holds another key's upper bits."""
+        key = F.shiftleft(left, 16).bitwiseOR(right)
+        return F.get(tables["slots"], ((key % SLOTS + F.get(tables["shift"], (key % BUCKETS).cast("int"))) % SLOTS).cast("int")).bitwiseXOR(F.shiftleft(key, 16))
 
     def step(s: Column, _: Column) -> Column:
-        def join(b: Column) -> Column:
-            ids, pairs, m, at = s["ids"], s["pairs"], b["m"], b["at"]
-            before = F.when(at > 1, F.concat(F.slice(pairs, F.lit(1), at - 2), F.array(rank(ids[at - 2], m)))).otherwise(F.array().cast("array<int>"))
-            after = F.when(at < F.size(pairs), F.concat(F.array(rank(m, ids[at + 1])), F.slice(pairs, at + 2, F.size(pairs)))).otherwise(F.array().cast("array<int>"))
+        ids, pairs = s["ids"], s["pairs"]
+
+        def join(at: Column) -> Column:
+            m = F.get(pairs, at - 1)
+            before = F.when(at > 1, F.concat(F.slice(pairs, F.lit(1), at - 2), F.array(rank(F.get(ids, at - 2), m)))).otherwise(none)
+            after = F.when(at < F.size(pairs), F.concat(F.array(rank(m, F.get(ids, at + 1))), F.slice(pairs, at + 2, F.size(pairs)))).otherwise(none)
             new = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(m), F.slice(ids, at + 2, F.size(ids)))
-            return F.struct(new.alias("ids"), F.concat(before, after).alias("pairs"))
+            return F.when(m < NO_RANK, F.struct(new.alias("ids"), F.concat(before, after).alias("pairs"))).otherwise(F.struct(ids.alias("ids"), none.alias("pairs")))
 
-        lowest = F.struct(F.array_min(s["pairs"]).alias("m"), F.array_position(s["pairs"], F.array_min(s["pairs"])).cast("int").alias("at"))
-        return let(lowest, lambda b: F.when(b["m"] < NO_RANK, join(b)).otherwise(s))
+        # no pairs are left once nothing can be joined
+        return F.when(F.size(pairs) == 0, s).otherwise(let(F.array_position(pairs, F.array_min(pairs)).cast("int"), join))
 
     def fold(t: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: rank(t[i], t[i + 1]))
+        pairs = F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: rank(F.get(t, i), F.get(t, i + 1)))
         start = F.struct(t.alias("ids"), pairs.alias("pairs"))
         return F.aggregate(F.sequence(F.lit(2), F.size(t)), start, step, lambda s: s["ids"])
 
     return F.when(F.size(tokens) < 2, tokens).otherwise(fold(tokens))
 
 
-_BLOCK = "ids array<bigint>, counts array<int>, codes binary, pieces array<array<int>>"
+_BLOCK = "ids array<bigint>, counts array<int>, codes binary, known bigint, pieces array<array<bigint>>"
 
 
 def _split(pattern: str, byte_tokens: list[int], block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, tokens = regex.compile(pattern).findall, np.array(byte_tokens, np.int32)
+        find, tokens = regex.compile(pattern).findall, np.array(byte_tokens, np.int64)
 
         class Numbers(dict):
             def __missing__(self, piece):
                 self[piece] = n = len(self)
+                new.append(piece.encode())
                 return n
 
         def block() -> pa.RecordBatch:
-            raw = [p.encode() for p in pieces]
-            ends = np.cumsum([0, *map(len, raw)], dtype=np.int32)
-            inner = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[np.frombuffer(b"".join(raw), np.uint8)]))
+            ends = np.cumsum([0, *map(len, new)], dtype=np.int32)
+            inner = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[np.frombuffer(b"".join(new), np.uint8)]))
             outer = pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
-            columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([np.concatenate(codes).tobytes()], pa.binary()), outer]
-            return pa.RecordBatch.from_arrays(columns, ["ids", "counts", "codes", "pieces"])
+            columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([np.concatenate(codes).tobytes()], pa.binary()), pa.array([len(pieces) - len(new)]), outer]
+            return pa.RecordBatch.from_arrays(columns, ["ids", "counts", "codes", "known", "pieces"])
 
-        ids, counts, codes, pieces, size = [], [], [], Numbers(), 0
+        ids, counts, codes, new, pieces, size = [], [], [], [], Numbers(), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
@@ -129,7 +138,10 @@ def _split(pattern: str, byte_tokens: list[int], block_bytes: int):
                 size += len(text)
                 if size >= block_bytes:
                     yield block()
-                    ids, counts, codes, pieces, size = [], [], [], Numbers(), 0
+                    ids, counts, codes, size = [], [], [], 0
+                    new.clear()
+                    if len(pieces) > MOST_PIECES:
+                        pieces.clear()
         if ids:
             yield block()
 
@@ -138,11 +150,17 @@ def _split(pattern: str, byte_tokens: list[int], block_bytes: int):
 
 def _join(tokens: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, flat = np.zeros(1, np.int64), np.empty(0, np.int32)
         for batch in batches:
             for row in range(batch.num_rows):
                 counts, codes = batch.column("counts")[row].values.to_numpy(), np.frombuffer(batch.column("codes")[row].as_py(), np.int32)
                 inner = batch.column("pieces")[row].values
-                starts, flat = inner.offsets.to_numpy(), inner.values.to_numpy(zero_copy_only=False)
+                new, own = inner.offsets.to_numpy().astype(np.int64), inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+                new = new - new[0] if len(new) else np.zeros(1, np.int64)
+                if batch.column("known")[row].as_py() == 0:
+                    starts, flat = new, own
+                else:
+                    starts, flat = np.concatenate((starts, starts[-1] + new[1:])), np.concatenate((flat, own))
                 doc_ids, at, out, held = batch.column("ids")[row].values, 0, ([], [], []), 0
                 for k, n in enumerate(counts):
                     code = codes[at : at + n]
@@ -162,10 +180,11 @@ def _join(tokens: list[bytes]):
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded (the ids' bytes) of every document."""
     byte_tokens = [ranks[bytes([b])] for b in range(256)]
     tokens = [piece for piece, _ in sorted(ranks.items(), key=lambda x: x[1])]
     blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_split(pattern, byte_tokens, block_bytes), _BLOCK)
-    merges = blocks.withColumn("pieces", F.transform("pieces", lambda p: merged(p, ranks)))
+    # bound once, as every further place in the plan would hold a copy of the tables
+    merges = blocks.withColumn("pieces", let(rank_tables(ranks), lambda t: F.transform("pieces", lambda p: merged(p, t))))
     return merges.mapInArrow(_join(tokens), "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
