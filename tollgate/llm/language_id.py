@@ -51,13 +51,11 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order and their log-probabilities, one row a language, from rows of (lang, text)."""
     texts = labelled.where("lang is not null and text is not null").select("lang", "text")
     counted = texts.mapInArrow(_counted, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    per = counted.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).toPandas()  # a row a language, of at most CELLS cells
+    per = counted.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("c")).select("lang", "c.cell", "c.n").toPandas()  # a row a language, of at most CELLS cells
     langs = sorted(per["lang"])
     table = np.full((len(langs), CELLS), 0.5)
-    for lang, cells in zip(per["lang"], per["cells"]):
-        own = table[langs.index(lang)]
-        for c in cells:
-            own[c["cell"]] += c["n"]
+    for lang, cells, n in zip(per["lang"], per["cell"], per["n"]):
+        table[langs.index(lang)][np.asarray(cells, np.int64)] += np.asarray(n, np.float64)
     return langs, np.log(table / table.sum(1, keepdims=True)) if langs else table
 
 
