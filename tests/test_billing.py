@@ -118,3 +118,21 @@ def test_verify_answers(spark):
     rows = [("ok", [("severity", {"low": 0.4, "high": 0.6}), ("kind", {"a": 1.0})]), ("bad", [("severity", {"low": 0.4, "mid": 0.4}), ("severity", {"low": 2.0})])]
     got = {r.request_hash: r.reasons for r in decide.verify_answers(spark.createDataFrame(rows, "request_hash string, answers array<struct<qid:string,probs:map<string,double>>>"), q).collect()}
     assert got["ok"] == [] and set(got["bad"]) == {"missing_question", "duplicate_question", "invalid_option", "out_of_range", "choice_sum"}
+
+
+def test_lifecycle(spark):
+    from tollgate.operators import context
+
+    rows = [("a", 1, "DETECTED", "system"), ("a", 2, "INVESTIGATING", "system"), ("a", 3, "RESOLVED", "human"), ("b", 1, "DETECTED", "system"), ("b", 2, "RESOLVED", "policy"), ("b", 3, "INVESTIGATING", "system")]
+    got = context.lifecycle_check(spark.createDataFrame(rows, "incident_id string, seq int, status string, actor string")).collect()
+    assert {(r.incident_id, r.seq) for r in got} == {("b", 2), ("b", 3)}
+
+
+def test_first_crossing_and_calibration(spark):
+    from tollgate.operators import evaluate
+
+    rows = [("s", 0, h, 100, 90 if h < 5 else 40, 100, 90) for h in range(10)] + [("t", 0, h, 100, 90, 100, 90) for h in range(10)]
+    got = {r.series: r.detectable_at for r in evaluate.first_crossing(spark.createDataFrame(rows, "series string, start bigint, hour bigint, n bigint, k bigint, n_cf bigint, k_cf bigint"), "rate").collect()}
+    assert got == {"s": 6 * 3600, "t": None}
+    scored = spark.createDataFrame([(0.05, False), (1.0, True), (0.95, False)], "p double, y boolean")
+    assert {r.bin: r.n for r in evaluate.calibration(scored).collect()} == {0: 1, 9: 2}
