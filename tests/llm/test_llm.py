@@ -82,6 +82,44 @@ def test_license_scan_is_exhaustive(spark):
     assert got == want and 20 < len(want) < 150
 
 
+def _passage(text, notice, t=80):
+    """Whether any window of the text's words reaches the notice, by brute force."""
+    norm = lambda x: [w for w in re.sub(r"[^\w]+|_", " ", x.lower()).split(" ") if w]
+    w, n = norm(text), norm(notice)
+    a, b = list(zip(w, w[1:])), set(zip(n, n[1:]))
+    reach = (200 - t) * len(b) // t
+    return any(200 * len(set(a[i:j]) & b) >= t * (len(set(a[i:j])) + len(b)) for i in range(len(a)) for j in range(i + 1, min(len(a), i + reach) + 1))
+
+
+def test_license_passages(spark, nasty):
+    """Notices wrapped over lines, inside longer lines, bare, in full, and twice in a text."""
+    mit = license_scan.PASSAGES["MIT-full"]
+    wrap = lambda t: "\n".join(t[i : i + 76] for i in range(0, len(t), 76))
+    rows = [
+        (1, "/*\n" + "\n * ".join(["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files, to deal in the", "Software without restriction"]) + "\n */"),
+        (2, "Copyright 2020 Acme. Released under the MIT License."), (3, "Intro\n\nAll rights reserved."), (4, prose(30) + "\nMIT\n\n" + "\n".join(mit.split(", ")) + "\n" + prose(30)),
+        (5, "Released under the MIT License. river stone\ncloud tree Licensed under CC BY 4.0. field"), (6, "all the rights are not reserved"), (None, "x All rights reserved"), (7, wrap(prose(20)))]
+    got = defaultdict(list)
+    for r in license_scan.passages(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "first_word").collect():
+        got[r.doc_id].append((r.licence, r.line_no))
+    assert got == {1: [("MIT-header", 1)], 2: [("MIT", 0)], 3: [("All-rights-reserved", 2)], 4: [("MIT-full", 3)], 5: [("MIT", 0), ("CC-BY-4.0", 1)], None: [("All-rights-reserved", 0)]}
+    assert license_scan.passages(nasty).count() == 0 and license_scan.passages(nasty.limit(0)).count() == 0
+
+
+def test_license_passages_are_exhaustive(spark):
+    rng, notices = random.Random(6), sorted(license_scan.TEMPLATES.items())
+    texts = []
+    for _ in range(60):
+        w = rng.choice(notices)[1].split(" ")
+        for _ in range(rng.randrange(len(w) // 3 + 1)):
+            w[rng.randrange(len(w))] = rng.choice(VOCAB)
+        w = prose(rng.randrange(1, 8), rng).split(" ") + w + prose(rng.randrange(1, 8), rng).split(" ")
+        texts.append("".join(x + rng.choice("  \n") for x in w))
+    want = {i for i, x in enumerate(texts) if any(_passage(x, n) for _, n in notices)}
+    got = {r.doc_id for r in license_scan.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=license_scan.TEMPLATES).collect()}
+    assert got == want and 10 < len(want) < 60
+
+
 def test_line_dedup(spark, nasty):
     shared, rows = "This very line stands everywhere.", []
     for i in range(12):

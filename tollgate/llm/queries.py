@@ -62,6 +62,11 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("line")
 
 
+def op9_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices and short licences anywhere in a text; ``op9_license_scans`` takes single lines, as its SQL says."""
+    return license_scan.passages(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.clean(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_good_lines", F.md5("cleaned").alias("cleaned_md5"))
