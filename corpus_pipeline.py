@@ -35,16 +35,27 @@ def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, near_dedup.text_key(F.col("text")).alias("row_key"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of every group of near copies (five words, 0.8)."""
-    found = near_dedup.near_components(docs).where("kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps one document, that of the smallest doc_id, of every group of near copies (five words, 0.8).
+
+    A row is named by doc_id, null or not, and its text: one id may have two texts.
+    """
+    found = near_dedup.keyed_components(docs).where("kept").select(F.col("doc_id").alias("id__"), F.col("key").alias("key__")).distinct()
+    rows = _keyed(docs)
+    kept = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("row_key") == F.col("key__")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "row_key"]).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes every document as often as the source weights say: 0, 1 or 2 rows."""
-    plan = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(plan, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select(*COLUMNS)
+    rows = _keyed(docs)
+    plan = mixing.mix(rows, more=("row_key",)).where("copies > 0").select(F.col("doc_id").alias("id__"), F.col("row_key").alias("key__"), "copies")
+    met = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("row_key") == F.col("key__")))
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -267,6 +267,33 @@ def test_near_components_odd(spark, nasty):
     assert near_dedup.near_components(nasty).count() == nasty.count()
 
 
+def test_near_components_of_odd_ids(spark):
+    """A null id among copies, only null ids, and one id of two texts lose neither links nor documents."""
+    rng = random.Random(11)
+    a, b, c, d = (prose(60, rng) for _ in range(4))
+    near = a[:-1] + " more."
+    rows = [(5, a), (None, a), (3, a), (8, near), (None, b), (None, b), (None, b + " more."), (7, c), (7, d), (9, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.key): (r.component_id, r.kept) for r in near_dedup.keyed_components(df, 5, 80).collect()}
+    key = {t: k for t, k in df.select("text", near_dedup.text_key(F.col("text"))).collect()}
+    assert [got[i, key[t]] for i, t in ((5, a), (None, a), (3, a), (8, near))] == [(3, False), (3, False), (3, True), (3, False)]
+    assert sorted(got[None, key[t]][1] for t in (b, b + " more.")) == [False, True]
+    assert [got[7, key[c]], got[7, key[d]], got[9, key[c]]] == [(7, True), (7, True), (7, False)]
+
+
+def test_pipeline_keeps_odd_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, c = (prose(60, rng) for _ in range(3))
+    rows = [(None, a), (4, a), (None, b), (6, b + prose(80, rng)), (6, c), (None, prose(50, rng))]
+    docs = spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t in rows[1:])
+    mixed = corpus_pipeline.mixture(spark, spark.createDataFrame(kept), "").collect()
+    assert {r.text for r in mixed} == {r.text for r in kept} and all(len([r for r in mixed if r.text == t]) in (1, 2) for _, t in rows[1:])
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(1)
     orders = near_dedup._orders()

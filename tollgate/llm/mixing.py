@@ -71,17 +71,20 @@ def _trade(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, bucket_rows: int = 256, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row for each row of docs (doc_id, text, source)."""
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, bucket_rows: int = 256, seed: int = 7, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, more, source, size, source_size, target, copies, taken: one row for each row of docs (doc_id, text, source).
+
+    more are bigint columns that tell rows of one doc_id, or without any, apart.
+    """
+    sized = docs.select("doc_id", *more, "source", F.size(words(F.col("text"))).cast("long").alias("size"))
     # equal rows become one with a count, then rows again: numbered, so that they draw apart
-    counted = durable(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "mix-sizes")
+    counted = durable(sized.groupBy("doc_id", *more, "source", "size").agg(F.count("*").alias("n")), "mix-sizes")
     per = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     plan = durable(targets(per, share, most), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     apart = counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
     rows = apart.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-    rows = rows.select("*", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("p"), F.xxhash64("doc_id", "size", "nth", F.lit(seed)).alias("h"))
+    rows = rows.select("*", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("p"), F.xxhash64("doc_id", *more, "size", "nth", F.lit(seed)).alias("h"))
 
     key = F.xxhash64("source", F.lit(seed))  # the tree needs the source only to keep sources apart
     level = rows.where((F.col("size") > 0) & (F.col("p") > 0)).select(key.alias("src"), F.col("source").isNull().alias("no_src"), "h", F.coalesce("doc_id", F.lit(0)).alias("key"), "size", "p")
@@ -101,4 +104,4 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, bucket_rows: int
     extra = done.unionByName(last).where("one").groupBy("src", "no_src", "h", "size").agg(F.count("*").alias("ones"))
     rows = rows.withColumns({"src": key, "no_src": F.col("source").isNull()})
     copies = F.col("base") + F.when(F.col("ones").isNotNull(), 1).otherwise(0)
-    return rows.join(extra, ["src", "no_src", "h", "size"], "left").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.join(extra, ["src", "no_src", "h", "size"], "left").select("doc_id", *more, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

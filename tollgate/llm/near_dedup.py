@@ -1,7 +1,8 @@
 """Near-duplicate components by HyperMinHash banding, verified on full shingle sets.
 
 1. Every text becomes its set of hashed k-word shingles, in numpy over Arrow batches. Equal sets are one class: copies
-   are never compared, only their class's smallest doc_id goes on.
+   are never compared. A class goes by a number drawn from its set, so neither a null doc_id nor one id of two texts
+   loses or joins classes; one row of it, that of the smallest doc_id, is read again.
 2. A set's HyperMinHash has ``REGISTERS`` buckets; each keeps the leading-zero count and ``MANTISSA`` bits of its smallest
    hash in 16 bits. Empty buckets borrow from others in a fixed order. Bands of four registers are join keys; the chance
    that a pair of similarity s shares none of the 32 bands is (1 - s^4)^32: below 1e-10 at 0.85, 1e-7 at 0.8.
@@ -15,7 +16,8 @@
 5. Connected components of the confirmed links give each class, and so each document, its component.
 
 Defined cases: null texts and texts without a word have an empty set and are linked with nothing; fewer than k words
-are one shingle; repeated rows are copies; extra columns are not read; an empty table gives an empty result. Component
+are one shingle; repeated rows are copies; a component's label is its smallest doc_id that isn't null, and its kept rows
+have that id and one text (of components without any id the one of the smallest text key); extra columns are not read; an empty table gives an empty result. Component
 labels spread by a join and an aggregate a round through tables in the shared folder, so lost executors cost one round.
 """
 
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -133,7 +135,7 @@ def _signed(k: int):
                 r = registers(s, orders) if len(s) else None
                 out[2].append(None if r is None else r.tobytes())
                 out[3].append(None if r is None else band_keys(r))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "registers", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "digest", "registers", "bands"])
 
     return run
 
@@ -241,20 +243,41 @@ def _confirm(percent: int):
     return small, pair, centre
 
 
+def text_key(text: Column) -> Column:
+    """Tells texts of one doc_id, or without any, apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """Adds cls, a 64-bit number of the digest; should two digests meet, all are drawn anew."""
+    salt = 0
+    while True:
+        found = durable(classes.withColumn("cls", F.xxhash64("digest", F.lit(salt))), "near-classes")
+        if found.groupBy("cls").count().where("count > 1").isEmpty():
+            return found
+        salt += 1
+
+
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 384) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for every row of docs (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = durable(texts.mapInArrow(_signed(k), "doc_id bigint, n_shingles bigint, digest binary, registers binary, bands array<bigint>"), "near-signed")
-    classes = signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "registers", "bands")).alias("c"))
-    classes = durable(classes.select("digest", F.col("c.doc_id").alias("cls"), F.col("c.registers").alias("registers"), F.col("c.bands").alias("bands")), "near-classes")
+    return keyed_components(docs, k, percent, block).drop("key")
+
+
+def keyed_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 384) -> DataFrame:
+    """The columns of near_components and the text's key, which names a row together with doc_id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("key"))
+    signed = durable(texts.mapInArrow(_signed(k), "doc_id bigint, key bigint, n_shingles bigint, digest binary, registers binary, bands array<bigint>"), "near-signed")
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "registers", "bands")).alias("c"))
+    classes = _numbered(classes.select("digest", F.struct("c.unnamed", "c.doc_id", "c.key").alias("row"), "c.registers", "c.bands"))
 
     banded = classes.select("cls", F.explode("bands").alias("key"))
     heads = banded.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = banded.join(heads, "key").where("cls != head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
     candidates = components(classes.select(F.col("cls").alias("node")), stars)
     sizes = candidates.groupBy("comp").agg(F.count("*").alias("members")).where("members > 1")
-    members = durable(candidates.join(sizes, "comp").select(F.col("node").alias("cls"), "comp", "members").join(classes.select("cls", "registers", "digest"), "cls"), "near-members")
-    read = texts.join(members.select("cls", "comp", "registers", "digest"), texts["doc_id"] == members["cls"])
+    members = durable(candidates.join(sizes, "comp").select(F.col("node").alias("cls"), "comp", "members").join(classes.select("cls", "registers", "row"), "cls"), "near-members")
+    rows = members.select("cls", "comp", "registers", F.col("row.doc_id").alias("id__"), F.col("row.key").alias("key__"))
+    read = texts.join(rows, texts["doc_id"].eqNullSafe(rows["id__"]) & (texts["key"] == rows["key__"]))
     read = read.select("cls", "comp", "registers", "text").dropDuplicates(["cls"]).mapInArrow(_sets(k), "cls bigint, comp bigint, registers binary, hashes binary")
     full = durable(read.join(members.select("cls", "members"), "cls"), "near-sets")
 
@@ -277,6 +300,8 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
         paired = first.unionByName(second).unionByName(third).unionByName(fourth).select("cls", "registers", "hashes", "comp", "to.l", "to.r", "to.kind", "to.side")
         links = links.unionByName(paired.groupBy("comp", "l", "r", "kind").applyInPandas(pair, _EDGE))
     found = components(classes.select(F.col("cls").alias("node")), durable(links, "near-links"))
-    named = classes.select("digest", "cls").join(found, F.col("cls") == F.col("node")).select("digest", "comp")
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), (F.coalesce("comp", "doc_id") == F.col("doc_id")).alias("kept"))
+    named = classes.select("digest", "cls", "row").join(found, F.col("cls") == F.col("node")).select("digest", "row", "comp")
+    roots = named.groupBy("comp").agg(F.min("row").alias("root"))
+    out = signed.select("doc_id", "key", "n_shingles", "digest").join(named.join(roots, "comp").select("digest", "root"), "digest", "left")
+    first = F.col("root.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("root.key") == F.col("key"))
+    return out.select("doc_id", "key", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("root.doc_id")).alias("component_id"), (F.col("root").isNull() | first).alias("kept"))
