@@ -218,6 +218,30 @@ def test_url_scores_match_plain_python(spark):
         assert abs(got[i].score - score(dict(rows)[i])) < 0.1
 
 
+def test_url_counts_are_exact(spark):
+    """With more distinct grams than any fixed table would hold apart, the score is still the plain one."""
+    rng = random.Random(9)
+    some = lambda first, n: "".join(chr(first + rng.randrange(200)) for _ in range(n))
+    rows = [(i, f"http://h.com/en/{some(0x4E00, 30)}" if i % 2 else f"http://h.net/de/{some(0x5000, 30)}") for i in range(1200)] + [(5000, f"http://h.org/{some(0x4E00, 20)}")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.score for r in url_filter.judge(df, rules=(("com/en/", "block"), ("net/de/", "allow"))).collect()}
+    held = {r.page_id for r in df.where(F.crc32(F.col("url").cast("binary")) % 5 == 0).collect()}
+    pairs, contexts = (defaultdict(lambda: [0, 0]) for _ in range(2))
+    for i, u in rows[:-1]:
+        s = "    " + re.sub("[0-9]", "0", u.lower())
+        for j in range(4, len(s)):
+            for k in range(5) if i not in held else ():
+                pairs[s[j - k : j], s[j]][i % 2] += 1
+                contexts[s[j - k : j], k][i % 2] += 1
+    s, total = "    " + rows[-1][1], 0.0
+    for j in range(4, len(s)):
+        p = [1 / 64, 1 / 64]
+        for k in range(5):
+            p = [(pairs[s[j - k : j], s[j]][x] + 2 * p[x]) / (contexts[s[j - k : j], k][x] + 2) for x in (0, 1)]
+        total += math.log(p[0] / p[1])
+    assert len(pairs) > 65_536 and math.isclose(got[5000], total / (len(s) - 4), rel_tol=1e-9)
+
+
 def _components(texts, k, percent):
     sets = []
     for t in texts:

@@ -2,9 +2,11 @@
 
 Two smoothed variable-order Markov models, one of allowed and one of blocked URLs, count characters after contexts of 0
 to ``max_order`` characters. A character's probability after a context is its count there, pulled towards its
-probability after the context one shorter: (n(context, c) + k P(c | shorter)) / (n(context) + k). Counts live in
-``cells`` hashed cells (a documented bound), so the model is four arrays of that length whatever the corpus holds; they
-are literals in the scoring expression, which needs no join and no shuffle. The score is the mean log ratio a character;
+probability after the context one shorter: (n(context, c) + k P(c | shorter)) / (n(context) + k). Counts are
+exact and stay in Spark tables, one an order, keyed by the context: the model grows with the corpus and the driver reads
+none of it. A character's log ratio depends on itself and the ``max_order`` characters before it, its gram; so the
+distinct grams of the texts are scored, order by order, each from its suffix's probability (a key has at most as many
+grams as there are characters), and texts meet their grams' ratios by an equi-join. The score is the mean log ratio a character;
 the threshold lies midway between the two classes' mean scores on a fifth of the ruled URLs kept out of the counts.
 
 Defined cases: a null url, or one without ``://``, has empty host and path; an empty text has no score and is allowed,
@@ -14,26 +16,15 @@ are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, durable
 
 #: The rules of the registered query.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
 
-@dataclass(frozen=True)
-class Model:
-    """Hashed counts of (context, character) and of contexts, by class, and the calibrated threshold."""
-
-    pairs: tuple[list[int], list[int]]
-    contexts: tuple[list[int], list[int]]
-    threshold: float | None
-
-
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path, empty where there is no ``://``."""
     rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise("")
@@ -61,72 +52,67 @@ def symbols(url: Column) -> Column:
     return F.regexp_replace(F.lower(url), "[0-9]", "0")
 
 
-def _cell(order: Column, context: Column, cells: int, *more: Column) -> Column:
-    return F.pmod(F.xxhash64(order, context, *more), F.lit(cells)).cast("int")
-
-
 def _context(text: Column, at: Column, order: Column) -> Column:
     """The ``order`` characters before position ``at`` of a text that starts with max_order blanks."""
     return F.substring(text, at - order, order)
 
 
-def _literal(counts: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<int>")
-
-
-def scores(text: Column, model: Model, cells: int, max_order: int, smoothing: float) -> Column:
-    """Mean log ratio a character, null for an empty text."""
-    arrays = [_literal(x) for x in (*model.pairs, *model.contexts)]
-    padded = F.concat(F.lit(" " * max_order), text)
-
-    def at(s: Column, i: Column) -> Column:
-        c = F.substring(s, i, F.lit(1))
-        orders = F.array(*(F.lit(k) for k in range(max_order + 1)))
-
-        def deeper(p: Column, k: Column) -> Column:
-            found = F.struct(_cell(k, _context(s, i, k), cells, c).alias("pair"), _cell(k, _context(s, i, k), cells).alias("context"))
-            step = lambda x, pair, context, was: (F.get(pair, x["pair"]) + smoothing * was) / (F.get(context, x["context"]) + smoothing)
-            return let(found, lambda x: F.struct(step(x, arrays[0], arrays[2], p["good"]).alias("good"), step(x, arrays[1], arrays[3], p["bad"]).alias("bad")))
-
-        flat = F.struct(F.lit(1 / 64).alias("good"), F.lit(1 / 64).alias("bad"))
-        return F.aggregate(orders, flat, deeper, lambda p: F.ln(p["good"] / p["bad"]))
-
-    def mean(s: Column) -> Column:
-        n = F.length(s) - max_order
-        total = F.aggregate(F.sequence(F.lit(max_order + 1), F.length(s)), F.lit(0.0), lambda a, i: a + at(s, i))
-        return F.when(n > 0, total / n)
-
-    return let(padded, mean)
-
-
-def fit(labelled: DataFrame, cells: int, max_order: int, smoothing: float) -> Model:
-    """From rows of (url, ruled): counts over four fifths of them, the threshold on the last fifth."""
+def _placed(texts: DataFrame, max_order: int) -> DataFrame:
+    """Every character's place i in the padded text s, which replaces s."""
+    padded = texts.where("s != ''").withColumn("s", F.concat(F.lit(" " * max_order), F.col("s")))
+    return padded.withColumn("i", F.explode(F.sequence(F.lit(max_order + 1), F.length("s"))))
+
+
+def fit(texts: DataFrame, max_order: int) -> DataFrame:
+    """Exact counts of (s, good): k, context, good, bad and the counts after each character, one row a context."""
+    grams = _placed(texts, max_order).withColumn("k", F.explode(F.array(*(F.lit(k) for k in range(max_order + 1)))))
+    at = (F.col("s"), F.col("i"), F.col("k"))
+    counted = grams.select("k", _context(*at).alias("context"), F.substring(at[0], at[1], F.lit(1)).alias("c"), "good").groupBy("k", "context", "c").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    after = F.map_from_entries(F.collect_list(F.struct("c", F.struct("good", "bad")))).alias("after")
+    return durable(counted.groupBy("k", "context").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), after), "url-counts")
+
+
+def ratios(grams: DataFrame, model: DataFrame, max_order: int, smoothing: float) -> DataFrame:
+    """gram, ratio: the log ratio of each distinct gram's last character after the characters before it."""
+    below = None
+    for k in range(max_order + 1):
+        own = grams.select(F.substring("gram", max_order - k + 1, k + 1).alias("gram")).distinct()
+        own = own.withColumn("context", F.substring("gram", 1, k)).withColumn("suffix", F.substring("gram", 2, k))
+        seen = own.join(model.where(F.col("k") == k).select("context", "good", "bad", "after"), "context", "left")
+        if below is None:
+            seen = seen.withColumns({"p_good": F.lit(1 / 64), "p_bad": F.lit(1 / 64)})
+        else:
+            seen = seen.join(below.select(F.col("gram").alias("suffix"), "p_good", "p_bad"), "suffix")
+        here = F.element_at("after", F.substring("gram", k + 1, 1))
+        step = lambda x: (F.coalesce(here[x], F.lit(0)) + smoothing * F.col(f"p_{x}")) / (F.coalesce(x, F.lit(0)) + smoothing)  # noqa: E731, B023
+        below = seen.select("gram", step("good").alias("p_good"), step("bad").alias("p_bad"))
+    return durable(below.select("gram", F.ln(F.col("p_good") / F.col("p_bad")).alias("ratio")), "url-ratios")
+
+
+def scores(texts: DataFrame, model: DataFrame, max_order: int, smoothing: float) -> DataFrame:
+    """s, score: the mean log ratio a character of each distinct s that isn't empty."""
+    placed = _placed(texts.select("s").distinct().withColumn("whole", F.col("s")), max_order)
+    grams = placed.select("whole", _context(F.col("s"), F.col("i") + 1, F.lit(max_order + 1)).alias("gram"))
+    found = ratios(grams.select("gram").distinct(), model, max_order, smoothing)
+    return grams.join(found, "gram").groupBy(F.col("whole").alias("s")).agg(F.avg("ratio").alias("score"))
+
+
+def judge(pages: DataFrame, rules=RULES, cells: int | None = None, max_order: int = 4, smoothing: float = 2.0) -> DataFrame:
+    """page_id, url, host, path, rule, score (null where a rule decides) and verdict of every page.
+
+    cells is read no more: counts are exact.
+    """
+    cut = ruled(pages, rules).withColumn("s", symbols(F.coalesce("url", F.lit(""))))
     fold = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0
-    texts = labelled.where("url is not null").select(symbols(F.col("url")).alias("s"), (F.col("ruled") == "allow").alias("good"), fold.alias("held"))
-    padded = F.concat(F.lit(" " * max_order), F.col("s"))
-    chars = texts.where("not held and s != ''").select("good", padded.alias("s")).withColumn("i", F.explode(F.sequence(F.lit(max_order + 1), F.length("s"))))
-    grams = chars.withColumn("k", F.explode(F.array(*(F.lit(k) for k in range(max_order + 1)))))
-    context, c = _context(F.col("s"), F.col("i"), F.col("k")), F.substring(F.col("s"), F.col("i"), F.lit(1))
-    kinds = F.array(F.struct(F.lit(0).alias("kind"), _cell(F.col("k"), context, cells, c).alias("cell")), F.struct(F.lit(1).alias("kind"), _cell(F.col("k"), context, cells).alias("cell")))
-    counted = grams.select("good", F.explode(kinds).alias("x")).groupBy("x.kind", "x.cell").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    filled = [[0] * cells for _ in range(4)]
-    for r in counted.collect():  # at most two rows a cell
-        filled[2 * r["kind"]][r["cell"]], filled[2 * r["kind"] + 1][r["cell"]] = r["good"], r["bad"]
-    model = Model((filled[0], filled[1]), (filled[2], filled[3]), None)
-    if not sum(filled[0]) or not sum(filled[1]):
-        return model
-    means = {r["good"]: r["m"] for r in texts.where("held").groupBy("good").agg(F.avg(scores(F.col("s"), model, cells, max_order, smoothing)).alias("m")).collect()}
-    low, high = means.get(False), means.get(True)
-    return Model(model.pairs, model.contexts, 0.0 if low is None or high is None else (low + high) / 2)
-
-
-def judge(pages: DataFrame, rules=RULES, cells: int = 65_536, max_order: int = 4, smoothing: float = 2.0) -> DataFrame:
-    """page_id, url, host, path, rule, score (null where a rule decides) and verdict of every page."""
-    cut = ruled(pages, rules)
-    model = fit(cut.where("rule is not null"), cells, max_order, smoothing)
-    if model.threshold is None:
+    labelled = cut.where("rule is not null and url is not null").select("s", (F.col("ruled") == "allow").alias("good"), fold.alias("held"))
+    model = fit(labelled.where("not held"), max_order)
+    if model.where("k = 0 and good > 0 and bad > 0").isEmpty():
         return cut.select("page_id", "url", "host", "path", "rule", F.lit(None).cast("double").alias("score"), F.coalesce("ruled", F.lit("allow")).alias("verdict"))
-    score = F.when(F.col("rule").isNull(), scores(symbols(F.coalesce("url", F.lit(""))), model, cells, max_order, smoothing))
-    judged = cut.withColumn("score", score)
-    said = F.when(F.col("score") < model.threshold, "block").otherwise("allow")
+    held = labelled.where("held")
+    scored = durable(scores(cut.where("rule is null").select("s").unionByName(held.select("s")), model, max_order, smoothing), "url-scores")
+    means = {r["good"]: r["m"] for r in held.join(scored, "s").groupBy("good").agg(F.avg("score").alias("m")).collect()}
+    low, high = means.get(False), means.get(True)
+    threshold = 0.0 if low is None or high is None else (low + high) / 2
+    judged = cut.join(scored, "s", "left").withColumn("score", F.when(F.col("rule").isNull(), F.col("score")))
+    said = F.when(F.col("score") < threshold, "block").otherwise("allow")
     return judged.select("page_id", "url", "host", "path", "rule", "score", F.coalesce("ruled", said).alias("verdict"))
