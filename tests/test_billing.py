@@ -136,3 +136,23 @@ def test_first_crossing_and_calibration(spark):
     assert got == {"s": 6 * 3600, "t": None}
     scored = spark.createDataFrame([(0.05, False), (1.0, True), (0.95, False)], "p double, y boolean")
     assert {r.bin: r.n for r in evaluate.calibration(scored).collect()} == {0: 1, 9: 2}
+
+
+def test_status_near_by_buckets(spark):
+    """Like all pairs, without a join of all ended entries on the provider alone."""
+    import random
+
+    from tollgate.operators import context
+
+    rng = random.Random(4)
+    inc = [(f"i{i}", rng.choice("ab"), t := rng.randrange(300_000), t + rng.choice((-30_000, 0, 3600, 90_000))) for i in range(80)]
+    entries = [(f"s{i}", rng.choice("ab"), p := rng.randrange(300_000), rng.choice((None, p + 900, p + 50_000, p - 500))) for i in range(400)] + [("none", "a", None, None)]
+    got = context.status_near(spark.createDataFrame(inc, "incident_id string, psp string, onset long, as_of long"), spark.createDataFrame(entries, "id string, psp string, posted_at long, resolved_at long"))
+    want = set()
+    for i, psp, onset, as_of in inc:
+        near = sorted((p, s, r) for s, q, p, r in entries if q == psp and p is not None and p <= as_of and (r is None or r >= onset - 21_600))
+        want |= {(i, s, psp, p, r if r is not None and r <= as_of else None) for p, s, r in near[:50]}
+    rows = got.select("incident_id", "id", "psp", "posted_at", "resolved_at").collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x]
+    assert len(joins) == 2 and all("b#" in x or "broadcast" in x for x in joins)

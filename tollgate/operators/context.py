@@ -34,9 +34,19 @@ def deployments_near(incidents: DataFrame, deployments: DataFrame) -> DataFrame:
 def status_near(incidents: DataFrame, status: DataFrame) -> DataFrame:
     """Provider status entries posted by as_of that reach into the six hours before an onset; a later resolution reads as unresolved.
 
-    incidents has the provider (psp), which is the join's key; few entries stand against one provider.
+    Resolved entries meet incidents by an equi-join on provider (psp) and time bucket, each pair in one bucket only. Of
+    open ones a provider's first fifty are enough: any later one comes after fifty rows that match wherever it does.
     """
-    met = incidents.join(status, "psp").where((F.col("posted_at") <= F.col("as_of")) & (F.col("resolved_at").isNull() | (F.col("resolved_at") >= F.col("onset") - STATUS_BEFORE)))
+    since = F.col("onset") - STATUS_BEFORE
+    bucket = lambda t: F.floor(t / STATUS_BEFORE)
+    asked = incidents.select("incident_id", "psp", "onset", "as_of", F.least(since, "as_of").alias("i_low"), F.explode(F.sequence(bucket(F.least(since, "as_of")), bucket(F.greatest(since, "as_of")))).alias("b"))
+    low, high = F.least("posted_at", "resolved_at"), F.greatest("posted_at", "resolved_at")
+    ended = status.where("posted_at is not null and resolved_at is not null").select("id", "psp", "posted_at", "resolved_at", low.alias("s_low"), F.explode(F.sequence(bucket(low), bucket(high))).alias("b"))
+    met = asked.join(ended, ["psp", "b"]).where((F.col("b") == bucket(F.greatest("i_low", "s_low"))) & (F.col("posted_at") <= F.col("as_of")) & (F.col("resolved_at") >= since))
+    early = status.where("posted_at is not null and resolved_at is null").withColumn("nth", F.row_number().over(W.partitionBy("psp").orderBy("posted_at", "id"))).where(F.col("nth") <= MOST_ROWS)
+    still = incidents.join(F.broadcast(early), "psp").where(F.col("posted_at") <= F.col("as_of"))
+    columns = ("incident_id", "id", "psp", "posted_at", "resolved_at", "as_of")
+    met = met.select(*columns).unionByName(still.select(*columns))
     seen = F.when(F.col("resolved_at") <= F.col("as_of"), F.col("resolved_at"))
     return _first_rows(met.select("incident_id", "id", "psp", "posted_at", seen.alias("resolved_at")), "posted_at")
 
