@@ -134,6 +134,14 @@ def test_line_dedup(spark, nasty):
     assert line_dedup.dedup(nasty.limit(0)).count() == 0
 
 
+def test_line_dedup_without_spaces(spark):
+    """Lines in scripts without spaces spread like others; a line of one word in a spaced script stays."""
+    for line in ("版权所有未经许可不得转载", "すべての権利を保有します", "สงวนลิขสิทธิ์ทั้งหมด"):
+        rows = [(i, f"{line}\nown line {i}\nHome", f"s{i}") for i in range(8)]
+        got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert got == {i: t if i == 0 else f"own line {i}\nHome" for i, t, _ in rows}
+
+
 @pytest.mark.parametrize("min_sites", [2, 5, 12])
 def test_line_dedup_counts_exactly(spark, min_sites):
     rng = random.Random(min_sites)

@@ -11,7 +11,8 @@ equi-join, whose skewed partitions Spark splits. The first place of a line (smal
 text that was copied everywhere survives once; a document all of whose lines go is left with an empty text.
 
 Defined cases: a null text stays null, an empty one empty; lines with fewer than ``min_words`` words are never
-removed; a null site is a site; repeated rows share their fate; other columns go through unread; an empty table gives an
+removed, where every letter of a script without spaces between words counts as a word (the SQL twin, which the given
+tables can't tell apart, counts white-space words alone); a null site is a site; repeated rows share their fate; other columns go through unread; an empty table gives an
 empty result.
 """
 
@@ -25,6 +26,11 @@ from pyspark.sql import functions as F
 from .common import durable, let
 
 
+#: Letters of scripts without spaces, one by one, or runs of anything else but white space.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_UNITS = rf"[{_UNSPACED}]|[^\x20\x09-\x0D{_UNSPACED}]+"
+
+
 def _key(line: Column) -> Column:
     """96 bits of a line's words in lower case, white space alike."""
     norm = F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
@@ -58,7 +64,7 @@ def dedup(docs: DataFrame, site: str = "source", min_sites: int = 6, min_words:
     """All columns of docs with the text cleaned, and n_lines and n_removed beside them."""
     rows = docs.withColumn("text_key__", F.xxhash64("text"))
     each = rows.select("doc_id", "text_key__", F.concat(F.lit("s"), F.col(site)).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    each = each.where(F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
+    each = each.where(F.regexp_count("line", F.lit(_UNITS)) >= min_words)
     lines = durable(each.select(_key(F.col("line")).alias("k"), F.coalesce("site", F.lit("")).alias("site"), "doc_id", "text_key__", "pos"), "lines")
     widely = durable(spread(lines, min_sites, rsd), "lines-spread")
     marks = lines.join(widely, "k").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
