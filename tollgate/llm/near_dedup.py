@@ -6,13 +6,13 @@
 2. A set's HyperMinHash has ``REGISTERS`` buckets; each keeps the leading-zero count and ``MANTISSA`` bits of its smallest
    hash in 16 bits. Empty buckets borrow from others in a fixed order. Bands of four registers are join keys; the chance
    that a pair of similarity s shares none of the 32 bands is (1 - s^4)^32: below 1e-10 at 0.85, 1e-7 at 0.8.
-3. Classes that share a band key are joined to the key's smallest member (a star, never all pairs), and components of
+3. Classes that share a band key are tied to the key's smallest member (a star, never all pairs), and components of
    those stars are candidates: no link leaves one.
 4. Inside a candidate component, a collision-corrected estimate of the Jaccard similarity from the registers rules pairs
-   out, and the full sets confirm the rest by integer arithmetic. Small components are one group each; large ones are
-   split into blocks of ``block`` classes, each pair of blocks is a group, and a group returns a spanning forest of its
-   links. Classes that link to their component's centre are already connected, so only blocks that hold others are
-   paired with the rest.
+   out, and the full sets confirm the rest by integer arithmetic. Small components are one group each. Large ones grow
+   from pivots in rounds (``_large_links``): each block of open classes meets a few members of the component's largest
+   cluster, what links joins it, and blocks of what is left meet the others only where rounds stop helping. A group
+   returns a spanning forest of its links.
 5. Connected components of the confirmed links give each class, and so each document, its component.
 
 Defined cases: null texts and texts without a word have an empty set and are linked with nothing; fewer than k words
@@ -24,11 +24,13 @@ labels spread by a join and an aggregate a round through tables in the shared fo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -231,16 +233,7 @@ def _confirm(percent: int):
         b = a if not (side == 1).any() else rows[side == 1].reset_index(drop=True)
         return pd.DataFrame(links_between(a, b, percent), columns=["a", "b"]).astype("int64")
 
-    def centre(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            ok = []
-            for x, y in zip(rows["hashes"], rows["mid"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * n >= percent * (len(x) + len(y) - n))
-            yield rows[["cls"]].assign(near=ok)
-
-    return small, pair, centre
+    return small, pair
 
 
 def text_key(text: Column) -> Column:
@@ -258,21 +251,78 @@ def _numbered(classes: DataFrame) -> DataFrame:
         salt += 1
 
 
-def near_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 384) -> DataFrame:
+def _stars(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all classes of a band key: each class to the smallest of its keys' heads, and its other
+    heads to that one. A key's head is its smallest class. Copies share most heads, so a hot key adds an edge a class.
+    """
+    banded = classes.select("cls", F.explode("bands").alias("key"))
+    heads = banded.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    mine = banded.join(heads, "key").groupBy("cls").agg(F.collect_set("head").alias("heads"))  # at most a head a band
+    low = F.array_min("heads")
+    return mine.select(F.explode(F.array_union("heads", F.array("cls"))).alias("a"), low.alias("b")).where("a != b").distinct()
+
+
+def _blocked(rows: DataFrame, block: int) -> DataFrame:
+    """Adds parts and blk: the rows of a comp in blocks of about ``block``."""
+    sizes = rows.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    return rows.join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+
+
+def _large_links(large: DataFrame, pair, block: int, pivots: int) -> DataFrame:
+    """A set of confirmed links that connects whatever is linked in each large candidate component.
+
+    A round deals the open classes to blocks; every block meets the same few pivots, and the links found join classes
+    to clusters. Two classes of one cluster need no further test, so only classes outside their component's largest
+    cluster stay open, and the next round's pivots come from that cluster. Where rounds stop helping, blocks of what is
+    still open meet each other and the blocks of the largest cluster, so that no link between clusters is missed.
+    """
+    nodes = large.select(F.col("cls").alias("node"))
+    rest, main, links, turn, before = large, large, None, 0, None
+    while True:
+        nth = F.row_number().over(W.partitionBy("comp").orderBy(F.xxhash64("cls", F.lit(turn)), "cls"))
+        chosen = main.withColumn("nth", nth).where(F.col("nth") <= pivots).drop("nth")
+        dealt = durable(_blocked(rest, block), "near-open")
+        blocks = dealt.select("comp", "blk").distinct()
+        sides = dealt.select("comp", "blk", "cls", "registers", "hashes", F.lit(1).alias("side")).unionByName(chosen.join(blocks, "comp").select("comp", "blk", "cls", "registers", "hashes", F.lit(0).alias("side")))
+        new = sides.groupBy("comp", "blk").applyInPandas(pair, _EDGE)
+        links = durable(new if links is None else new.unionByName(links), "near-round")
+        clustered = large.join(components(nodes, links).withColumnRenamed("comp", "cluster"), F.col("cls") == F.col("node")).drop("node")
+        counted = clustered.groupBy("comp", "cluster").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max(F.struct("n", "cluster"))["cluster"].alias("largest"))
+        placed = durable(clustered.join(counted, "comp").withColumn("open", F.col("cluster") != F.col("largest")).drop("cluster", "largest"), "near-clusters")
+        rest, main = placed.where("open").drop("open"), placed.where("not open").drop("open")
+        left = rest.count()
+        if not left:
+            return links
+        if before is not None and 2 * left > before:
+            break
+        turn, before = turn + 1, left
+    half = block // 2
+    o, d = _blocked(rest, half), _blocked(main, half)
+    others, firsts = o.select("comp", F.col("parts").alias("of")).distinct(), d.select("comp", F.col("parts").alias("of")).distinct()
+    to = lambda rows, pairs: rows.withColumn("to", F.explode(F.expr(pairs)))
+    paired = (
+        to(o, "transform(sequence(blk, parts - 1), x -> struct(blk as l, x as r, 'o' as kind, 0 as side))"),
+        to(o.where("blk > 0"), "transform(sequence(0, blk - 1), x -> struct(x as l, blk as r, 'o' as kind, 1 as side))"),
+        to(o.join(firsts, "comp"), "transform(sequence(0, of - 1), x -> struct(blk as l, x as r, 'd' as kind, 0 as side))"),
+        to(d.join(others, "comp"), "transform(sequence(0, of - 1), x -> struct(x as l, blk as r, 'd' as kind, 1 as side))"),
+    )
+    every = reduce(DataFrame.unionByName, (p.select("cls", "registers", "hashes", "comp", "to.l", "to.r", "to.kind", "to.side") for p in paired))
+    return links.unionByName(every.groupBy("comp", "l", "r", "kind").applyInPandas(pair, _EDGE))
+
+
+def near_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 384, pivots: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for every row of docs (doc_id, text)."""
-    return keyed_components(docs, k, percent, block).drop("key")
+    return keyed_components(docs, k, percent, block, pivots).drop("key")
 
 
-def keyed_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 384) -> DataFrame:
+def keyed_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 384, pivots: int = 32) -> DataFrame:
     """The columns of near_components and the text's key, which names a row together with doc_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("key"))
     signed = durable(texts.mapInArrow(_signed(k), "doc_id bigint, key bigint, n_shingles bigint, digest binary, registers binary, bands array<bigint>"), "near-signed")
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "registers", "bands")).alias("c"))
     classes = _numbered(classes.select("digest", F.struct("c.unnamed", "c.doc_id", "c.key").alias("row"), "c.registers", "c.bands"))
 
-    banded = classes.select("cls", F.explode("bands").alias("key"))
-    heads = banded.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = banded.join(heads, "key").where("cls != head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
+    stars = _stars(classes)
     candidates = components(classes.select(F.col("cls").alias("node")), stars)
     sizes = candidates.groupBy("comp").agg(F.count("*").alias("members")).where("members > 1")
     members = durable(candidates.join(sizes, "comp").select(F.col("node").alias("cls"), "comp", "members").join(classes.select("cls", "registers", "row"), "cls"), "near-members")
@@ -281,24 +331,11 @@ def keyed_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int
     read = read.select("cls", "comp", "registers", "text").dropDuplicates(["cls"]).mapInArrow(_sets(k), "cls bigint, comp bigint, registers binary, hashes binary")
     full = durable(read.join(members.select("cls", "members"), "cls"), "near-sets")
 
-    small, pair, centre = _confirm(percent)
-    # the group of a small component; many small ones share a group by their hash only through Spark's partitions
+    small, pair = _confirm(percent)
     links = full.where(F.col("members") <= block).groupBy("comp").applyInPandas(small, _EDGE)
-    large = full.where(F.col("members") > block)
+    large = full.where(F.col("members") > block).drop("members")
     if not large.isEmpty():
-        mids = large.where("cls = comp").select("comp", F.col("hashes").alias("mid"))
-        near = durable(large.join(mids, "comp").select("cls", "hashes", "mid").mapInPandas(centre, "cls bigint, near boolean"), "near-centre")
-        linked = large.join(near, "cls")
-        links = links.unionByName(linked.where("near and cls != comp").select(F.col("cls").alias("a"), F.col("comp").alias("b")))
-        # blocks of the others come first; each meets itself, later ones of its kind, and every block of the connected
-        parts = F.ceil(F.col("members") / (block // 2)).cast("int")
-        blocked = linked.withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-        first = blocked.where("not near").withColumn("to", F.explode(F.expr("transform(sequence(blk, parts - 1), x -> struct(blk as l, x as r, 'o' as kind, 0 as side))")))
-        second = blocked.where("not near").where("blk > 0").withColumn("to", F.explode(F.expr("transform(sequence(0, blk - 1), x -> struct(x as l, blk as r, 'o' as kind, 1 as side))")))
-        third = blocked.where("not near").withColumn("to", F.explode(F.expr("transform(sequence(0, parts - 1), x -> struct(blk as l, x as r, 'c' as kind, 0 as side))")))
-        fourth = blocked.where("near").withColumn("to", F.explode(F.expr("transform(sequence(0, parts - 1), x -> struct(x as l, blk as r, 'c' as kind, 1 as side))")))
-        paired = first.unionByName(second).unionByName(third).unionByName(fourth).select("cls", "registers", "hashes", "comp", "to.l", "to.r", "to.kind", "to.side")
-        links = links.unionByName(paired.groupBy("comp", "l", "r", "kind").applyInPandas(pair, _EDGE))
+        links = links.unionByName(_large_links(large, pair, block, pivots))
     found = components(classes.select(F.col("cls").alias("node")), durable(links, "near-links"))
     named = classes.select("digest", "cls", "row").join(found, F.col("cls") == F.col("node")).select("digest", "row", "comp")
     roots = named.groupBy("comp").agg(F.min("row").alias("root"))
