@@ -408,8 +408,8 @@ def test_byte_bpe_like_the_library(spark, nasty, ranks):
 
 
 def test_sharding(spark, nasty, tmp_path):
-    store = sharding.ShardStore(spark, str(tmp_path / "s"), base_bytes=100, fan=3, target_bytes=400)
-    assert store.read is not None and store.version() == 0 and store.manifest().count() == 0
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), base_bytes=100, fan=3, target_bytes=400, least_files=1)
+    assert store.version() == 0 and store.manifest().count() == 0 and store.read().count() == 0
     for start in (0, 9):
         rows = spark.createDataFrame([(i, "x" * 40, i) for i in range(start, start + 9)], "id long, text string, run int")
         store.append(rows, F.col("id"), F.octet_length("text"))
@@ -419,18 +419,48 @@ def test_sharding(spark, nasty, tmp_path):
     after = store.manifest().collect()
     assert store.version() == 3 and sum(r.n_rows for r in after) == 18 and {r.run for r in after} == {0, 9} and max(r.tier for r in after) == 2
     assert sorted(r.id for r in store.read().collect()) == list(range(18)) and not before & {r.folder for r in after}
+    assert {(r.place.run, r.place.file) for r in store.located().collect()} <= {(r, f) for r in (0, 9) for f in range(1)}
     assert store.compact() == 3  # nothing to do
-    with pytest.raises(RuntimeError):
-        store.commit(store.manifest(), after=2)
-    odd = sharding.ShardStore(spark, str(tmp_path / "t"), base_bytes=64, fan=2, target_bytes=64)
-    odd.append(nasty, F.col("doc_id"), F.octet_length("text"))
+    store.append(spark.createDataFrame([(18, "y", 1), (19, "z", 2)], "id long, text string, run int"), F.col("id"), F.octet_length("text"))
+    assert sorted(r.id for r in store.read().collect()) == list(range(20)) and store.manifest().where("not merged").count() == 2
+    with pytest.raises(ValueError):
+        store.append(rows, F.col("id"), F.octet_length("text"))
+
+
+def test_sharding_keeps_every_row_and_name(spark, nasty, tmp_path):
+    """Nulls, long texts, repeated rows and columns with the store's own names come back as they were, from several files."""
+    odd = sharding.ShardStore(spark, str(tmp_path / "t"), base_bytes=64, fan=2, target_bytes=30_000, least_files=3)
+    rows = nasty.withColumns({c: F.lit(i) for i, c in enumerate(("run", "arrival", "file", "row", "n_bytes", "folder", "slot", "files", "merged", "n_bytes__"))})
+    odd.append(rows, F.col("doc_id"), F.octet_length("text"))
     odd.compact()
-    assert odd.read().count() == nasty.count()
+    key = lambda df: sorted(map(repr, df.select(*rows.columns).collect()))
+    assert odd.read().columns == rows.columns and key(odd.read()) == key(rows)
+    assert len({(r.place.run, r.place.file) for r in odd.located().collect()}) > 3
     none = sharding.ShardStore(spark, str(tmp_path / "u"))
     none.append(nasty.limit(0), F.col("doc_id"), F.lit(1))
     assert none.manifest().count() == 0 and none.compact() == 1
 
 
+def test_racing_commits_lose_nothing(spark, tmp_path):
+    """Of writers that saw the same version one wins; every other gets an error, and the winner's rows stay."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "r")
+    stores = [sharding.ShardStore(spark, root) for _ in range(4)]
+
+    def write(i):
+        try:
+            return stores[i].append(spark.createDataFrame([(i, "t")], "id long, text string"), F.col("id"), F.lit(1), after=0)
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [i for i, v in enumerate(pool.map(write, range(4))) if v == 1]
+    assert len(won) == 1 and stores[0].version() == 1 and [r.id for r in stores[0].read().collect()] == won
+    stores[1].append(spark.createDataFrame([(9, "t")], "id long, text string"), F.col("id"), F.lit(1))
+    assert sorted(r.id for r in stores[2].read().collect()) == [*won, 9]
+
+
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_same_as_sql(spark, name):
     from twins import same

@@ -87,9 +87,13 @@ def _rounds(n: int) -> str:
     return out
 
 
+# sixteen loads, and one of rows without an id, leave at most two rounds of merging by four
 SQL["op1_sharding"] = f"""
-with d as (select coalesce(cast(floor(doc_id / 512) as bigint), -1) as arrival, doc_id, cast(strlen(text) as bigint) as n_bytes, md5(text) as text_md5 from documents),
-a as (select arrival, sum(coalesce(n_bytes, 0)) as n_bytes from d group by arrival), {_rounds(8)},
-f as (select a.arrival, n8.dest as run_id, cast(floor(coalesce(sum(a.n_bytes) over (partition by n8.dest order by a.arrival rows between unbounded preceding and 1 preceding), 0) / 134217728.0::double) as bigint) as file_no from a join n8 on a.arrival = n8.run)
-select d.arrival, doc_id, d.n_bytes, text_md5, run_id, l8.tier, file_no from d join f using (arrival) join l8 on l8.run = f.run_id
+with d as (select coalesce(cast(floor(doc_id * 16 / (1 + (select max(doc_id) from documents))) as bigint), -1) as arrival, doc_id, cast(strlen(text) as bigint) as n_bytes, md5(text) as text_md5 from documents),
+a as (select arrival, sum(coalesce(n_bytes, 0)) as n_bytes from d group by arrival), {_rounds(3)},
+r as (select n3.dest as run_id, sum(a.n_bytes) as run_bytes, count(*) > 1 as merged from a join n3 on a.arrival = n3.run group by 1),
+s as (select run_id, merged, l3.tier, cast(greatest(1, ceil(run_bytes / least(134217728, ceil(greatest(run_bytes, 1) / 16.0::double)))) as int) as n_files from r join l3 on l3.run = run_id)
+select d.arrival, doc_id, d.n_bytes, text_md5, run_id, tier, case when merged then n_files else 0 end as n_files,
+       case when merged then ('0x' || md5(doc_id::varchar)[1:8])::bigint % n_files end as file_no
+from d join n3 on d.arrival = n3.run join s on s.run_id = n3.dest
 """
