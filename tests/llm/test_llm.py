@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -398,7 +399,8 @@ def test_byte_bpe_like_the_library(spark, nasty, ranks):
     more = ["a\x1cb \x1d x y　z​ \u0085 q", "don't I'll 're ", "é" * 300, "\U0001f600\U0001f3fd ok", "  \n\n\n  end  ", "١٢٣ ⅷ ²³ a1b2", "﻿bom\r\n\ttab", "ก็ ทำ हिन्दी"]
     rng = random.Random(8)
     more += ["".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(160, 0x2FFF), 10, 32))) for _ in range(60)) for _ in range(60)]
-    texts = [t for t in TEXTS if len(t or "") != 20_000] + more
+    more += ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (63, 64, 65, 66, 5_000)] + ["ab" * 900 + "a", " " * 3_000, "é漢" * 700, "=-" * 500]
+    texts = TEXTS + more
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
     got = {r.doc_id: r for r in byte_bpe.encode(df, ranks, public_tokenizers.PATTERN, block_bytes=2000).collect()}
     for i, t in enumerate(texts):
@@ -407,6 +409,18 @@ def test_byte_bpe_like_the_library(spark, nasty, ranks):
     assert byte_bpe.encode(nasty.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_pieces_merge_in_rounds(ranks):
+    """A piece of a million letters takes seconds; rounds give what the library gives."""
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tables = tuple(np.array(x, np.int64) for x in byte_bpe.perfect_hash(byte_bpe.pair_ranks(ranks)))
+    single = np.array([ranks[bytes([b])] for b in range(256)])
+    rng, began = random.Random(4), time.time()
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    assert len(byte_bpe.merged_long(single[np.frombuffer(letters.encode(), np.uint8)], tables)) < 600_000 and time.time() - began < 120
+    for text in [letters[:30_000], "x" * 20_000, *("".join(rng.choice("theanidgr" if i % 2 else "abcABCéß") for _ in range(rng.randrange(2, 400))) for i in range(300))]:
+        assert byte_bpe.merged_long(single[np.frombuffer(text.encode(), np.uint8)], tables).tolist() == library.encode_ordinary(text)
+
+
 def test_sharding(spark, nasty, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "s"), base_bytes=100, fan=3, target_bytes=400, least_files=1)
     assert store.version() == 0 and store.manifest().count() == 0 and store.read().count() == 0

@@ -10,9 +10,13 @@ Three steps in one narrow stage, without a shuffle:
 3. ``_join`` (Arrow) writes every document's ids from its pieces' ids, and decodes the ids again by concatenating the
    binary pieces they stand for.
 
-A block ends at the first document that brings it to ``block_bytes`` of text. After ``MOST_PIECES`` distinct pieces the
-numbering starts anew, which repeats merges but changes no result; so memory is bounded by these two and by the longest
-text. Texts are read whole.
+A block ends at the first document that brings it to ``block_bytes`` of text. Once a partition's distinct pieces take
+``MOST_BYTES``, the numbering starts anew, which repeats merges but changes no result; so memory is bounded by these two
+and by the longest text. Texts are read whole. Partitions of the scan are read ``together`` at a time by one task, as a
+piece is merged once a partition.
+
+A fold looks at a whole piece at every merge, so it is for words. Pieces above ``LONG`` bytes (runs of letters, blanks or
+signs without a break) merge in rounds instead: all places of the lowest rank at once, in a pass of numpy (``merged_long``).
 
 Defined cases: null and empty texts have no ids and decode to nothing; repeated rows give equal rows; columns other than
 ``doc_id`` and ``text`` are not read; an empty table gives an empty result.
@@ -33,7 +37,8 @@ from .common import let
 #: Primes whose product exceeds every pair key (left << 16 | right), so two keys never agree in both remainders.
 BUCKETS, SLOTS = 65_537, 131_071
 NO_RANK = 1 << 16
-MOST_PIECES = 1_000_000
+MOST_BYTES = 128 << 20
+LONG = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,10 +73,10 @@ def perfect_hash(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
     return shift, slots
 
 
-def rank_tables(ranks: dict[bytes, int]) -> Column:
+def rank_tables(tables: tuple[np.ndarray, np.ndarray]) -> Column:
     """The literal rank map: struct of the two arrays of the perfect hash."""
-    shift, slots = perfect_hash(pair_ranks(ranks))
-    literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    shift, slots = tables
+    literal = lambda xs: F.split(F.lit(",".join(map(str, xs.tolist()))), ",").cast("array<bigint>")
     return F.struct(literal(shift).alias("shift"), literal(slots).alias("slots"))
 
 
@@ -105,29 +110,82 @@ def merged(tokens: Column, tables: Column) -> Column:
     return F.when(F.size(tokens) < 2, tokens).otherwise(fold(tokens))
 
 
+def merged_long(tokens: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The ids of one piece of any length: like merged, but every place of the lowest rank is joined in one pass.
+
+    That is the same as one by one from the left, unless a join makes a pair of a lower rank still; then only the first
+    place is joined.
+    """
+    shift, slots = tables
+
+    def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 16 | right
+        return slots[(key % SLOTS + shift[key % BUCKETS]) % SLOTS] ^ key << 16
+
+    ids = tokens.astype(np.int64)
+    pairs = ranks(ids[:-1], ids[1:])
+    while len(pairs) and (m := int(pairs.min())) < NO_RANK:
+        at = np.flatnonzero(pairs == m)
+        # of places side by side every other one counts, from the left
+        run = np.concatenate(([True], np.diff(at) > 1))
+        nth = np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]
+        at = at[nth % 2 == 0]
+
+        def joined(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+            new = ids.copy()
+            new[at] = m
+            new = np.delete(new, at + 1)
+            where = at - np.arange(len(at))
+            changed = np.unique(np.concatenate((where - 1, where)))
+            changed = changed[(changed >= 0) & (changed < len(new) - 1)]
+            kept = np.delete(pairs, at)  # the pair that went; those beside it are worked out again
+            kept[changed] = ranks(new[changed], new[changed + 1])
+            # also what stood there before the neighbour was joined too
+            one = at[at > 0], at[at + 2 < len(ids)]
+            beside = np.concatenate((kept[changed], ranks(ids[one[0] - 1], np.full(len(one[0]), m)), ranks(np.full(len(one[1]), m), ids[one[1] + 2])))
+            return new, kept, int(beside.min()) if len(beside) else NO_RANK
+
+        new, kept, low = joined(at)
+        if low < m and len(at) > 1:
+            new, kept, _ = joined(at[:1])
+        ids, pairs = new, kept
+    return ids
+
+
 _BLOCK = "ids array<bigint>, counts array<int>, codes binary, known bigint, pieces array<array<bigint>>"
 
 
-def _split(pattern: str, byte_tokens: list[int], block_bytes: int):
+def _split(pattern: str, byte_tokens: list[int], tables: tuple[np.ndarray, np.ndarray], block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find, tokens = regex.compile(pattern).findall, np.array(byte_tokens, np.int64)
 
         class Numbers(dict):
+            held = 0
+
             def __missing__(self, piece):
                 self[piece] = n = len(self)
-                new.append(piece.encode())
+                raw = piece.encode()
+                if len(raw) > LONG:
+                    long[len(new)] = merged_long(tokens[np.frombuffer(raw, np.uint8)], tables)
+                new.append(raw)
+                self.held += len(raw) + 150  # about what the entry takes
                 return n
 
         def block() -> pa.RecordBatch:
-            ends = np.cumsum([0, *map(len, new)], dtype=np.int32)
-            inner = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[np.frombuffer(b"".join(new), np.uint8)]))
+            flat, sizes = tokens[np.frombuffer(b"".join(new), np.uint8)], list(map(len, new))
+            if long:  # these are merged already, and merging them again changes nothing
+                cuts = np.cumsum(sizes)[:-1]
+                parts = [long.get(i, x) for i, x in enumerate(np.split(flat, cuts))]
+                flat, sizes = np.concatenate(parts), list(map(len, parts))
+            ends = np.cumsum([0, *sizes], dtype=np.int32)
+            inner = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             outer = pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
             columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([np.concatenate(codes).tobytes()], pa.binary()), pa.array([len(pieces) - len(new)]), outer]
             return pa.RecordBatch.from_arrays(columns, ["ids", "counts", "codes", "known", "pieces"])
 
-        ids, counts, codes, new, pieces, size = [], [], [], [], Numbers(), 0
+        ids, counts, codes, new, long, pieces, size = [], [], [], [], {}, Numbers(), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
@@ -140,8 +198,9 @@ def _split(pattern: str, byte_tokens: list[int], block_bytes: int):
                     yield block()
                     ids, counts, codes, size = [], [], [], 0
                     new.clear()
-                    if len(pieces) > MOST_PIECES:
-                        pieces.clear()
+                    long.clear()
+                    if pieces.held > MOST_BYTES:
+                        pieces = Numbers()
         if ids:
             yield block()
 
@@ -180,11 +239,14 @@ def _join(tokens: list[bytes]):
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = 4 << 20, together: int = 4) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded (the ids' bytes) of every document."""
     byte_tokens = [ranks[bytes([b])] for b in range(256)]
     tokens = [piece for piece, _ in sorted(ranks.items(), key=lambda x: x[1])]
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_split(pattern, byte_tokens, block_bytes), _BLOCK)
+    tables = tuple(np.array(x, np.int64) for x in perfect_hash(pair_ranks(ranks)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // together)
+    blocks = texts.coalesce(tasks).mapInArrow(_split(pattern, byte_tokens, tables, block_bytes), _BLOCK)
     # bound once, as every further place in the plan would hold a copy of the tables
-    merges = blocks.withColumn("pieces", let(rank_tables(ranks), lambda t: F.transform("pieces", lambda p: merged(p, t))))
+    merges = blocks.withColumn("pieces", let(rank_tables(tables), lambda t: F.transform("pieces", lambda p: merged(p, t))))
     return merges.mapInArrow(_join(tokens), "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
