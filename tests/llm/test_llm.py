@@ -107,6 +107,22 @@ def test_license_passages(spark, nasty):
     assert license_scan.passages(nasty).count() == 0 and license_scan.passages(nasty.limit(0)).count() == 0
 
 
+def test_license_passages_ties_and_long_lines(spark):
+    """Equal templates: the first name; a notice inside a line of 400,000 letters; full licences wrapped anywhere; a repeated row."""
+    rng = random.Random(7)
+    same = {"B": "one two three four five", "A": "one two three four five"}
+    got = license_scan.passages(spark.createDataFrame([(1, "x one two three four five y"), (1, "x one two three four five y")], "doc_id long, text string"), templates=same).collect()
+    assert [(r.licence, r.dice, r.first_word) for r in got] == [("A", 1.0, 1)] * 2
+    line = prose(60_000, rng)
+    rows = [(1, f"{line} Released under the MIT License. {line}")]
+    full = [n for n in license_scan.PASSAGES if n.endswith(("-full", "-notice"))]
+    for i, n in enumerate(full):
+        w = license_scan.PASSAGES[n].split(" ")
+        rows.append((10 + i, prose(40, rng) + "\n" + "".join(x + rng.choice("  \n") for x in w) + "\n" + prose(40, rng)))
+    got = {r.doc_id: (r.licence, r.dice) for r in license_scan.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", 1.0)} | {10 + i: (n, 1.0) for i, n in enumerate(full)}
+
+
 def test_license_passages_are_exhaustive(spark):
     rng, notices = random.Random(6), sorted(license_scan.TEMPLATES.items())
     texts = []

@@ -62,7 +62,7 @@ from base b left join held h using (rid) left join (select rid, count(*) as n fr
 _NOTICES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in sorted(TEMPLATES.items()))
 _BIGRAMS = r"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
 _CUT = r"list_filter(string_split(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x != '')"
-SQL["op9_license_scans"] = f"""
+SQL["license_lines"] = f"""
 with notices(licence, notice) as (values {_NOTICES}),
 tw as (select licence, {_CUT.format(t="notice")} as w from notices), t as (select licence, {_BIGRAMS.format(w="w")} as b from tw),
 l as (select row_number() over () as rid, * from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from documents)),

@@ -67,12 +67,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("line")
+    """Notices and short licences anywhere in a text."""
+    return license_scan.passages(table(spark, sf_dir, "documents"))
 
 
-def op9_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notices and short licences anywhere in a text; ``op9_license_scans`` takes single lines, as its SQL says."""
-    return license_scan.passages(table(spark, sf_dir, "documents"))
+def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plainer form that SQL can say: single lines that are a notice."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("line")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | {"license_lines": license_lines}
 
 
 def oracle_sql() -> dict[str, str]:
