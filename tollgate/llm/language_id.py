@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 15
 CELLS = 1 << BITS
@@ -99,7 +100,7 @@ def _predicted(langs: list[str], logp: np.ndarray, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said, score, sets = [], [], []
-            for text in batch.column("text__"):
+            for text in batch.column("text"):
                 text = text.as_py()
                 if text is None or not langs:
                     said.append(UNDETERMINED), score.append(0.0), sets.append([])
@@ -109,19 +110,22 @@ def _predicted(langs: list[str], logp: np.ndarray, penalty: float):
                 said.append(langs[chosen[best]])
                 score.append(float(min(1.0, share[best])))
                 sets.append([{"lang": langs[c], "share": float(s)} for c, s in sorted(zip(chosen, share), key=lambda x: (-x[1], x[0]))])
-            kept = [c for c in batch.schema.names if c != "text__"]
             mix = pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(said, pa.string()), pa.array(score, pa.float64()), mix], [*kept, "lang_pred", "score", "mixture"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(said, pa.string()), pa.array(score, pa.float64()), mix], ["row", "lang_pred", "score", "mixture"])
 
     return run
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], penalty: float = 8.0) -> DataFrame:
-    """The columns named in keep, lang_pred, score and mixture (languages and shares, largest first) of every row."""
+    """The columns named in keep, lang_pred, score and mixture (languages and shares, largest first) of every row.
+
+    Columns of docs with one of the last three names are replaced.
+    """
     letters = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
-    asked = docs.select(*keep, letters.alias("text__"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.drop("text__").schema), "lang_pred string", "score double", "mixture array<struct<lang:string,share:double>>"])
-    return asked.mapInArrow(_predicted(*model, penalty), schema)
+    keep = [c for c in keep if c not in ("lang_pred", "score", "mixture")]
+    asked = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in keep)).alias("row"), letters.alias("text"))
+    out = T.StructType([asked.schema["row"], *T._parse_datatype_string("lang_pred string, score double, mixture array<struct<lang:string,share:double>>").fields])
+    return asked.mapInArrow(_predicted(*model, penalty), out).select(*(F.col(f"row.`{c}`").alias(c) for c in keep), "lang_pred", "score", "mixture")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -12,8 +12,8 @@ text that was copied everywhere survives once; a document all of whose lines go
 
 Defined cases: a null text stays null, an empty one empty; lines with fewer than ``min_words`` words are never
 removed, where every letter of a script without spaces between words counts as a word (the SQL twin, which the given
-tables can't tell apart, counts white-space words alone); a null site is a site; repeated rows share their fate; other columns go through unread; an empty table gives an
-empty result.
+tables can't tell apart, counts white-space words alone); a null site is a site; repeated rows share their fate; other columns go through unread, whatever their names (but
+``n_lines`` and ``n_removed``, which are replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,16 +61,18 @@ def spread(lines: DataFrame, min_sites: int, rsd: float) -> DataFrame:
 
 
 def dedup(docs: DataFrame, site: str = "source", min_sites: int = 6, min_words: int = 2, rsd: float = 0.14) -> DataFrame:
-    """All columns of docs with the text cleaned, and n_lines and n_removed beside them."""
-    rows = docs.withColumn("text_key__", F.xxhash64("text"))
-    each = rows.select("doc_id", "text_key__", F.concat(F.lit("s"), F.col(site)).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """All columns of docs with the text cleaned, and n_lines and n_removed, which take the place of such columns of docs."""
+    # the columns of docs stay inside one, so that no name of theirs meets one made here
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col(site).alias("site"), F.xxhash64("text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed"))).alias("row"))
+    each = rows.select(F.col("id").alias("doc_id"), "key", F.concat(F.lit("s"), F.col("site")).alias("site"), F.posexplode(F.split("body", "\n")).alias("pos", "line"))
     each = each.where(F.regexp_count("line", F.lit(_UNITS)) >= min_words)
-    lines = durable(each.select(_key(F.col("line")).alias("k"), F.coalesce("site", F.lit("")).alias("site"), "doc_id", "text_key__", "pos"), "lines")
+    lines = durable(each.select(_key(F.col("line")).alias("k"), F.coalesce("site", F.lit("")).alias("site"), "doc_id", "key", "pos"), "lines")
     widely = durable(spread(lines, min_sites, rsd), "lines-spread")
     marks = lines.join(widely, "k").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    marks = marks.groupBy(F.col("doc_id").alias("id__"), F.col("text_key__").alias("key__")).agg(F.collect_set("pos").alias("gone__"))
-    joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("text_key__") == F.col("key__")), "left")
-    parts = F.split("text", "\n")
-    stay = let(parts, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone__")), lambda i: F.get(x, i)))
-    text = F.when(F.col("gone__").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone__"), F.lit(0)).cast("long").alias("n_removed"))
+    marks = marks.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.collect_set("pos").alias("gone"))
+    joined = rows.join(marks, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    parts = F.split("body", "\n")
+    stay = let(parts, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)))
+    text = F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.array_join(stay, "\n"))
+    kept = [text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*kept, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
