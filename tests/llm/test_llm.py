@@ -148,6 +148,13 @@ def test_line_dedup(spark, nasty):
     assert all(got[50 + i].n_removed == 0 for i in range(20)) and got[100].text is None and got[101].text == ""
     done = line_dedup.dedup(nasty, min_sites=2)
     assert done.count() == nasty.count() and set(nasty.columns) < set(done.columns)
+    clash = nasty.withColumns({c: F.lit(i) for i, c in enumerate(("n_lines", "n_removed", "gone", "gone__", "id", "id__", "key__", "body", "row", "site", "pos", "of", "text_key__"))})
+    same = line_dedup.dedup(clash, min_sites=2)
+    assert sorted(same.columns) == sorted(clash.columns)
+    value = lambda df: sorted(map(repr, df.select("doc_id", "text", "n_lines", "n_removed").collect()))
+    assert value(same) == value(done) and same.select("gone__", "row", "pos").distinct().collect() == [(3, 8, 10)]
+    by = {r.doc_id: r for r in done.collect()}
+    assert by[0].text is None and by[0].n_lines == 0 and by[1].text == "" and by[8].text == LONG and by[6].n_removed == 0
     assert line_dedup.dedup(nasty.limit(0)).count() == 0
 
 
@@ -243,6 +250,61 @@ def test_url_scores_match_plain_python(spark):
         assert abs(got[i].score - score(dict(rows)[i])) < 0.1
 
 
+def test_url_verdicts_of_the_given_table(spark):
+    """Every page of sf0.01: host, path, rule, score and verdict against plain Python, with odd rows added."""
+    odd = [(None, "http://no.id/x", None), (7, None, None), (7, "", None), (8, "http://a.b/" + "z" * 20_000, None), (9, "HTTP://Ä.COM/EN/1", None)]
+    df = queries.table(spark, "/root/testdata/sf0.01", "pages")
+    df = df.union(spark.createDataFrame(odd, df.schema))
+    df = df.union(df.limit(5))
+    got = url_filter.judge(df).collect()
+    urls = [r.url for r in df.collect()]
+    rules, lower = sorted(url_filter.RULES, key=lambda r: -len(r[0])), {i: i + 32 for i in range(65, 91)}
+
+    def ruled(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"(?s)[^/?#]*", rest).group()
+        path = re.match(r"(?s)[^?#]*", rest[len(host) :]).group()
+        host = host.translate(lower)
+        for rule, verdict in rules:
+            at, _, start = rule.partition("/")
+            if (host == at or host.endswith("." + at)) and path.startswith("/" + start):
+                return host, path, rule, verdict
+        return host, path, None, None
+
+    held = {r.url for r in df.where(F.crc32(F.col("url").cast("binary")) % 5 == 0).collect()}
+    pad = lambda u: "    " + re.sub("[0-9]", "0", u.lower())
+    pairs, contexts = (defaultdict(lambda: [0, 0]) for _ in range(2))
+    for u in urls:
+        if u and ruled(u)[2] and u not in held:
+            s, x = pad(u), int(ruled(u)[3] == "block")
+            for j in range(4, len(s)):
+                for k in range(5):
+                    pairs[s[j - k : j], s[j]][x] += 1
+                    contexts[s[j - k : j], k][x] += 1
+
+    def score(u):
+        s, total = pad(u), 0.0
+        for j in range(4, len(s)):
+            p = [1 / 64, 1 / 64]
+            for k in range(5):
+                p = [(pairs[s[j - k : j], s[j]][x] + 2 * p[x]) / (contexts[s[j - k : j], k][x] + 2) for x in (0, 1)]
+            total += math.log(p[0] / p[1])
+        return total / (len(s) - 4)
+
+    tests = [(score(u), ruled(u)[3] == "allow") for u in urls if u and ruled(u)[2] and u in held]
+    error = lambda at: sum(g and round(s / 0.001) < at for s, g in tests) / max(1, sum(g for _, g in tests)) + sum(not g and round(s / 0.001) >= at for s, g in tests) / max(1, sum(not g for _, g in tests))
+    free = [r for r in got if r.rule is None and r.url]
+    limit = max([r.score for r in free if r.verdict == "block"], default=-math.inf)
+    assert all((r.score <= limit) == (r.verdict == "block") for r in free)
+    bins = sorted({round(s / 0.001) for s, _ in tests})
+    assert error(math.ceil(limit / 0.001)) <= min(map(error, [*bins, bins[-1] + 1])) + 1e-9 if limit > -math.inf else True
+    assert len(got) == len(urls)
+    for r in got:
+        host, path, rule, verdict = ruled(r.url)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and (rule is None or r.verdict == verdict)
+        assert (r.score is None) if rule or not r.url else math.isclose(r.score, score(r.url), rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_url_counts_are_exact(spark):
     """With more distinct grams than any fixed table would hold apart, the score is still the plain one."""
     rng = random.Random(9)
@@ -365,13 +427,61 @@ def test_language_id(spark, nasty):
     mixed = spark.createDataFrame([(1, text("aa", 60) + " " + text("cc", 20))], "doc_id long, text string")
     mix = language_id.identify(mixed, model, ["doc_id"]).first().mixture
     assert [m.lang for m in mix] == ["aa", "cc"] and abs(mix[0].share - 0.7) < 0.15
-    odd = {r.doc_id: r for r in language_id.identify(nasty, model, ["doc_id", "score"][:1]).collect()}
-    assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (0, 1, 2, 5)) and odd[8].lang_pred != "und"
+    odd = language_id.identify(nasty.withColumn("row", F.lit(5)).withColumn("lang_pred", F.lit("mine")), model, ["doc_id", "score", "lang_pred", "row", "text", "p"])
+    assert odd.columns == ["doc_id", "row", "text", "p", "lang_pred", "score", "mixture"]
+    odd = {r.doc_id: r for r in odd.collect()}
+    assert all(odd[i].lang_pred == "und" and odd[i].score == 0 and odd[i].row == 5 and odd[i].text == TEXTS[i] for i in (0, 1, 2, 5)) and odd[8].lang_pred != "und"
     none = language_id.train(df.limit(0))
     assert language_id.identify(df, none, ["doc_id"]).where("lang_pred != 'und'").count() == 0
     assert language_id.identify(df.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_language_mixtures_match_plain_python(spark):
+    """Every document of sf0.001: proportions and chosen languages against a slow version without numpy."""
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    rows = docs.select("doc_id", "text", "lang", language_id.held_out(F.col("doc_id")).alias("out")).collect()
+    cells = lambda t: [int(c) for c in language_id.grams(t)]
+    langs = sorted({r.lang for r in rows if r.lang and not r.out and r.text})
+    n = {l: [0.5] * language_id.CELLS for l in langs}
+    for r in rows:
+        for c in cells(r.text) if r.text and r.lang and not r.out else ():
+            n[r.lang][c] += 1
+    logp = {l: [math.log(x / total) for x in n[l]] for l in langs for total in [sum(n[l])]}
+
+    def em(own, chosen):
+        share = [1 / len(chosen)] * len(chosen)
+        for _ in range(25 if len(chosen) > 1 else 0):
+            new = [0.0] * len(chosen)
+            for c in own:
+                p = [s * math.exp(logp[l][c]) for s, l in zip(share, chosen)]
+                new = [a + b / sum(p) / len(own) for a, b in zip(new, p)]
+            moved, share = max(abs(a - b) for a, b in zip(new, share)), new
+            if moved < 1e-4:
+                break
+        return share, sum(math.log(sum(s * math.exp(logp[l][c]) for s, l in zip(share, chosen))) for c in own)
+
+    def plain(text):
+        own = cells(text)
+        chosen = [max(langs, key=lambda l: sum(logp[l][c] for c in own))]
+        (share, likely), cost = em(own, chosen), 8.0 * 0.5 * math.log(max(2, len(own)))
+        while len(chosen) < len(langs):
+            tried = {l: em(own, [*chosen, l]) for l in langs if l not in chosen}
+            best = max(tried, key=lambda l: tried[l][1])
+            if tried[best][1] - likely <= cost:
+                break
+            chosen, (share, likely) = [*chosen, best], tried[best]
+        top = max(range(len(chosen)), key=lambda i: share[i])
+        return chosen[top], min(1.0, share[top]), set(chosen)
+
+    got = {r.doc_id: r for r in language_id.identify(docs, language_id.train(docs.where(~language_id.held_out(F.col("doc_id")))), ["doc_id"]).collect()}
+    short = sorted((r for r in rows if r.text and re.search(r"[^\W\d_]", r.text)), key=lambda r: (len(r.text), r.doc_id))[:80]
+    for r in short:
+        said, score, chosen = plain(r.text)
+        assert got[r.doc_id].lang_pred == said and abs(got[r.doc_id].score - score) < 1e-6 and {m.lang for m in got[r.doc_id].mixture} == chosen
+    held = [r for r in rows if r.out and r.lang and got[r.doc_id].lang_pred != "und"]
+    assert sum(got[r.doc_id].lang_pred == r.lang for r in held) >= 0.97 * len(held)
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(8, 12))
@@ -382,21 +492,45 @@ def test_vector_search(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = vector_search.search(df, df.where("vec_id % 20 = 0"), k=20, group_rows=128, block_rows=16).toPandas()
     hit = total = 0
-    for q, g in got.groupby("query_id"):
+    for q, g in got[got.query_id < 900].groupby("query_id"):
         g = g.sort_values("rank")
         s = x @ x[q]
         order = [j for j in np.lexsort((np.arange(len(x)), -np.round(s, 9))) if j != q][:20]
         assert g["rank"].tolist() == list(range(1, 21)) and np.allclose(g.score, s[g.vec_id])
         hit += np.isclose(np.sort(s[order]), np.sort(g.score)).sum()
         total += 20
+    got = got[got.query_id != 1080]
     assert got.query_id.nunique() == 45 and hit / total >= 0.9
     common = [v for v in got[got.query_id == 200].sort_values("rank").vec_id if 100 <= v < 400]
     assert common == list(range(100, 100 + len(common)))
+    other = spark.createDataFrame([(1100, [3.0, 1.0]), (1101, [1.0, 1.0]), (20, [9.0] * 12), (1102, [0.5, 0.5]), (1102, [7.0, 7.0])], df.schema)
+    both = vector_search.search(df.union(other), df.where("vec_id % 20 = 0").union(other.where("vec_id = 1100")), k=20).toPandas()
+    assert [(r.vec_id, r.score) for r in both[both.query_id == 1100].sort_values("rank").itertuples()] == [(1080, 5.0), (1101, 4.0), (1102, 2.0)]
+    assert np.allclose(both[both.query_id == 1080].sort_values("rank").score, [5.0, 3.0, 1.5]) and not both[both.query_id == 20].empty
     few = vector_search.search(df.where("vec_id < 3"), df.where("vec_id = 0")).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
     assert vector_search.search(df.limit(0), df).count() == 0
 
 
+def test_vector_search_recall_on_the_given_table(spark):
+    """Against brute force over the whole table of sf0.01."""
+    df = queries.table(spark, "/root/testdata/sf0.01", "embeddings")
+    got = queries.op5_vector_search(spark, "/root/testdata/sf0.01").toPandas()
+    rows = df.toPandas()
+    ok = [v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for v in rows.embedding]
+    rows = rows[ok]
+    ids, x = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), np.float64)
+    hit = total = 0
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        order = [ids[j] for j in np.lexsort((ids, -s)) if ids[j] != q][:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 1 + len(order))) and (np.diff(mine.score) <= 0).all()
+        hit += len(set(order) & set(mine.vec_id))
+        total += len(order)
+    assert hit / total >= 0.9
+
+
 def test_heap_order():
     rng = np.random.default_rng(3)
     a, b = rng.random(7), rng.random(5)

@@ -10,18 +10,21 @@ by the exact inner product of the original vectors.
 the cells taken. Vectors with structure need few cells; directionless ones need many, whatever the index.
 
 Equal vectors are one entry with their smallest ``k + 1`` ids (no more can be among k neighbours), so a vector held by a
-third of the rows is one entry. Cells are cut into groups of about ``group_rows`` entries and queries into blocks, and
-each (group, block) scores one matrix; a crowded cell spreads over several groups.
-
-Defined cases: null vectors, zero vectors and those holding null or non-finite components take no part, nor do vectors
-whose length isn't the commonest one; ties go to the smaller id; fewer candidates than k are all returned; rows of one
-vec_id are one; other columns are not read; an empty table gives an empty result.
+third of the rows is one entry. Cells are cut into groups of about ``group_rows`` entries and queries, by their own cells,
+into blocks, so that a block's queries open much the same groups; each (group, block) that a query opens scores one
+matrix, and an entry goes to no other block. A crowded cell spreads over several groups.
+
+Defined cases: null vectors, zero vectors and those holding null or non-finite components take no part; only vectors of
+the query's length have an inner product with it, so each length is an index of its own; ties go to the smaller id; fewer
+candidates than k are all returned; rows of one vec_id are one, with the smallest vector if they differ; other columns are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -103,29 +106,36 @@ def _calibrated(rows: np.ndarray, largest: float, model: Centroids, k: int, reca
     return float(np.quantile(needs, recall)) if needs else 1.0
 
 
+def _sound(df: DataFrame) -> DataFrame:
+    """vec_id, v: one row a vec_id that takes part; of several different vectors of one id the smallest in array order."""
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    one = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+    return one.where(F.forall("v", fine) & F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float | None = None, recall: float = 0.95, sample: int = 20_000, group_rows: int = 8_192, block_rows: int = 2_048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of vectors for each row of queries (both: vec_id, embedding)."""
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
-    spark = vectors.sparkSession
+    have, asked = durable(_sound(vectors), "vectors"), durable(_sound(queries), "queries")
+    lengths = [r["d"] for r in asked.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]  # as many as there are vector lengths
+    of = lambda df, d: df.where(F.size("v") == d)
+    parts = [_search(of(have, d), of(asked, d), d, k, share, recall, sample, group_rows, block_rows) for d in lengths]
+    parts = [p for p in parts if p is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
 
-    def sound(df: DataFrame) -> DataFrame:
-        fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-        one = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
-        return one.where(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
-
-    commonest = sound(vectors).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if commonest is None:
-        return spark.createDataFrame([], empty)
-    of_size = F.size("v") == commonest["d"]
-    order = W.partitionBy("v").orderBy("vec_id")
-    limited = sound(vectors).where(of_size).dropDuplicates(["vec_id"]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    entries = durable(limited.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
+
+def _search(vectors: DataFrame, asked: DataFrame, length: int, k: int, share: float | None, recall: float, sample: int, group_rows: int, block_rows: int) -> DataFrame | None:
+    """search among vectors (vec_id, v) of one length."""
+    spark = vectors.sparkSession
+    limited = vectors.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    entries = durable(limited.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
     stats = entries.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("largest")).first()
     n, largest = stats["n"], stats["largest"]
+    if not n:
+        return None
 
     fitted = np.array(entries.orderBy(F.xxhash64("v"), "v").limit(sample).toPandas()["v"].tolist())
     per_half = int(min(256, len(fitted), max(1, np.ceil(np.sqrt(n / 16)))))
-    half = commonest["d"] // 2 or 1
+    half = length // 2 or 1
     wide = _extended(fitted, largest)
     model = (_kmeans(wide[:, :half], per_half), _kmeans(wide[:, half:], per_half), half)
     share = _calibrated(fitted, largest, model, k, recall) if share is None else share
@@ -135,47 +145,56 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float | N
             if len(rows):
                 yield rows.assign(cell=_cells(np.array(rows["v"].tolist()), largest, model))
 
-    indexed = durable(entries.mapInPandas(assign, "v array<double>, ids array<bigint>, cell bigint"), "vector-cells")
-    counts = np.zeros(per_half * per_half, np.int64)
-    for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most 65,536 cells
-        counts[r["cell"]] = r["n"]
-    before = np.cumsum(counts) - counts
-    cells = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(counts)), "before": before, "held": counts}))
-    within = F.pmod(F.xxhash64("v"), F.lit(1 << 40)) / float(1 << 40)
-    grouped = indexed.join(F.broadcast(cells), "cell").select("v", "ids", "cell", F.floor((F.col("before") + within * F.col("held")) / group_rows).alias("grp"))
-
-    asked = sound(queries).where(of_size).dropDuplicates(["vec_id"])
-    blocks = max(1, -(-asked.count() // block_rows))
+    def dealt(rows: DataFrame, schema: str, label: str, size: int, name: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        """The rows with their cell, and with the part of about ``size`` rows that neighbouring cells share; a crowded cell has several."""
+        held = durable(rows.mapInPandas(assign, schema), label)
+        counts = np.zeros(per_half * per_half, np.int64)
+        for r in held.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most 65,536 cells
+            counts[r["cell"]] = r["n"]
+        before = np.cumsum(counts) - counts
+        cells = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(counts)), "before": before, "held": counts}))
+        within = F.pmod(F.xxhash64("v"), F.lit(1 << 40)) / float(1 << 40)
+        part = F.floor((F.col("before") + within * F.col("held")) / size).alias(name)
+        return held.join(F.broadcast(cells), "cell").select(*held.columns, part), counts, before
+
+    grouped, counts, before = dealt(entries, "v array<double>, ids array<bigint>, cell bigint", "vector-cells", group_rows, "grp")
+    blocks, _, _ = dealt(asked, "vec_id bigint, v array<double>, cell bigint", "query-cells", block_rows, "block")
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row a query and group that it opens, with its cells there."""
         for rows in batches:
-            masks, groups = [], []
-            for v in rows["v"]:
-                taken = np.array(_taken(np.array(v), model, counts, share * n), np.int64)
-                mask = np.zeros(len(counts), bool)
-                mask[taken] = True
-                masks.append(np.packbits(mask).tobytes())
+            for query_id, v, block in zip(rows["vec_id"], rows["v"], rows["block"]):
+                taken = np.sort(np.array(_taken(np.array(v), model, counts, share * n), np.int64))
                 low, high = before[taken] // group_rows, (before[taken] + counts[taken] - 1) // group_rows
-                groups.append(np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high)])))
-            yield rows.assign(mask=masks, groups=groups)
-
-    routed = asked.mapInPandas(route, "vec_id bigint, v array<double>, mask binary, groups array<bigint>")
-    routed = routed.select(F.col("vec_id").alias("query_id"), "v", "mask", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode("groups").alias("grp"))
-    spread = grouped.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+                grp = np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high)])
+                cell = np.repeat(taken, high - low + 1)
+                order = np.argsort(grp, kind="stable")
+                starts = np.flatnonzero(np.concatenate(([True], np.diff(grp[order]) > 0)))
+                cells = [x.tolist() for x in np.split(cell[order], starts[1:])]
+                yield pd.DataFrame({"query_id": query_id, "v": [v] * len(starts), "block": block, "grp": grp[order][starts], "cells": cells})
+
+    # each query walks many cells: a few hundred a task
+    tasks = max(spark.sparkContext.defaultParallelism, -(-blocks.count() // 256))
+    routed = blocks.drop("cell").repartition(tasks, "vec_id").mapInPandas(route, "query_id bigint, v array<double>, block bigint, grp bigint, cells array<bigint>")
+    routed = durable(routed, "vector-routes")
+    # an entry goes to the blocks whose queries open its group, and to no other
+    opened_by = routed.select(F.col("grp").alias("g"), F.col("block").alias("to")).distinct()
+    spread = grouped.join(opened_by, F.col("grp") == F.col("g")).select("v", "ids", "cell", "grp", F.col("to").alias("block"))
 
     def score(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "ids": [], "score": []}
         if len(ask) and len(have):
-            x, cell = np.array(have["v"].tolist()), have["cell"].to_numpy()
+            x = np.array(have["v"].tolist())
+            local, cell = np.unique(have["cell"].to_numpy(), return_inverse=True)
             for at in range(0, len(ask), 512):
                 part = ask.iloc[at : at + 512]
                 q = np.array(part["v"].tolist())
-                open_ = np.unpackbits(np.array([np.frombuffer(m, np.uint8) for m in part["mask"]]), axis=1)[:, cell].astype(bool)
-                scores = np.where(open_, q @ x.T, -np.inf)
+                opened = np.array([np.isin(local, c) for c in part["cells"]])[:, cell]
+                scores = np.where(opened, q @ x.T, -np.inf)
                 top = np.argpartition(-scores, min(k, len(x) - 1), axis=1)[:, : k + 1]
                 # whatever equals the last one taken may hold a smaller id
                 least = np.take_along_axis(scores, top, 1).min(1)
-                for i, j in zip(*np.nonzero((scores >= least[:, None]) & open_)):
+                for i, j in zip(*np.nonzero((scores >= least[:, None]) & opened)):
                     out["query_id"].append(part["query_id"].iloc[i])
                     out["ids"].append(have["ids"].iloc[j])
                     out["score"].append(float((q[i] * x[j]).sum()))
