@@ -405,6 +405,22 @@ def test_pipeline_keeps_odd_ids(spark):
     assert {r.text for r in mixed} == {r.text for r in kept} and all(len([r for r in mixed if r.text == t]) in (1, 2) for _, t in rows[1:])
 
 
+def test_pipeline_on_odd_rows(spark, nasty):
+    """Nulls, repeated rows, very long texts and clashing columns go through every stage; so does an empty table."""
+    import corpus_pipeline
+    from tollgate.llm.common import durable
+
+    for docs, some in ((nasty.withColumns({c: F.lit(1) for c in ("row_key", "id__", "key__", "copy", "copies", "row", "mixture")}), True), (nasty.limit(0), False)):
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, durable(stage(spark, docs, ""), f"odd-{name}")
+            if name != "byte_bpe":
+                assert docs.columns == corpus_pipeline.COLUMNS
+            if some and name == "near_dedup":
+                left = docs.collect()
+                assert len({r.text for r in left}) == len(left) > 0 and {(r.doc_id, r.text) for r in left} <= {(r.doc_id, r.text) for r in before.collect()}
+        assert (docs.count() > 0) == some
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(1)
     orders = near_dedup._orders()

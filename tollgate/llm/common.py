@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; only where a session names none (as in tests) a temporary one is set."""
+    """The folder every executor can reach, from the session; a local session (as in tests) may do without and gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tollgate-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
