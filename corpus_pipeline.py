@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet into the shared
 folder and rereads it for the next stage. All stages but the last return the columns of ``documents``.
+
+Defined cases, alike in every stage: a row is named by doc_id, null or not, and its text, so one id may have two texts
+and rows without an id are kept apart; null and empty texts have no language and go in the first stage; repeated rows are
+copies, of which near-dedup keeps one; columns beside those of ``documents`` are dropped, whatever their names; an empty
+table passes through all stages empty.
 """
 
 from __future__ import annotations
