@@ -87,7 +87,7 @@ class ShardStore:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         key = F.coalesce(arrival.cast("long"), F.lit(-1).cast("long"))
         kept = rows.select(key.alias("arrival"), F.coalesce(n_bytes, F.lit(0)).cast("long").alias("n_bytes"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
-        kept.write.partitionBy("arrival").parquet(folder)
+        kept.write.partitionBy("arrival").option("compression", "zstd").parquet(folder)
         stored = self.spark.read.schema("arrival bigint, n_bytes bigint").parquet(folder)
         runs = stored.groupBy("arrival").agg(F.count("*").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
         new = runs.select("arrival", F.col("arrival").alias("run"), self._tier(F.col("n_bytes")).alias("tier"), F.lit(0).alias("files"), "n_rows", "n_bytes", F.lit(folder).alias("folder"), F.lit(False).alias("merged"))
@@ -145,7 +145,7 @@ class ShardStore:
         # one task a file; beyond most_tasks a task writes several, one after the other
         tasks = int(min(total, self.most))
         dealt = rows.repartitionById(tasks, F.pmod("slot", F.lit(tasks)).cast("int"))
-        dealt.select("n_bytes", "row", "arrival", "run", "file").write.partitionBy("run", "file").parquet(folder)
+        dealt.select("n_bytes", "row", "arrival", "run", "file").write.partitionBy("run", "file").option("compression", "zstd").parquet(folder)
         new = moved.withColumn("folder", F.lit(folder)).withColumn("merged", F.lit(True)).drop("stays", "was")
         kept = self.manifest().join(plan.where("stays").select("arrival"), "arrival", "left_semi")
         return self.commit(kept.unionByName(new.select(*kept.columns)), v)
