@@ -37,7 +37,7 @@ from .common import let
 #: Primes whose product exceeds every pair key (left << 16 | right), so two keys never agree in both remainders.
 BUCKETS, SLOTS = 65_537, 131_071
 NO_RANK = 1 << 16
-MOST_BYTES = 128 << 20
+MOST_BYTES = 80 << 20
 LONG = 64
 
 
@@ -239,7 +239,7 @@ def _join(tokens: list[bytes]):
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = 4 << 20, together: int = 4) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = 2 << 20, together: int = 2) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded (the ids' bytes) of every document."""
     byte_tokens = [ranks[bytes([b])] for b in range(256)]
     tokens = [piece for piece, _ in sorted(ranks.items(), key=lambda x: x[1])]
