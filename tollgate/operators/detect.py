@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -91,8 +92,11 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 
 
 def monitored_series(norm: DataFrame, start: int, end: int, series: Sequence[Series] = SERIES) -> DataFrame:
-    """series, metric, version, grain_s, direction, kind, cusum, scope (dimension=value, or empty), ts, num, den: complete windows at first look."""
-    found = []
+    """series, metric, version, grain_s, direction, kind, cusum, scope (dimension=value, or empty), ts, num, den: complete windows at first look.
+
+    The events are derived once and written; every series reads the few columns it needs.
+    """
+    norm, found = materialized(norm, "norm"), []
     for s in series:
         r = m.request(s.metric, s.version, start, end, s.grain, s.group_by, visibility="window_close")
         scope = F.concat_ws(",", *(F.concat(F.lit(f"{d}="), F.col(d)) for d in s.group_by)) if s.group_by else F.lit("")
@@ -173,52 +177,81 @@ def flagged_series(series: DataFrame, limits: Limits = LIMITS) -> DataFrame:
 EPISODE = "series string, scope string, direction string, window_start bigint, window_end bigint, detected_at bigint, observed double, expected double, score double, sample bigint, methods array<string>, evidence_ts array<bigint>, recovered_at bigint, score_at_detection double, methods_at_detection array<string>"
 
 
-def _episodes(limits: Limits, world_start: int):
-    warm_until = world_start + limits.warmup_days * DAY
+@dataclass
+class Span:
+    """One alarm of a series as places in its rows: those that carried it, where it ended (or -1), and the sums that fired."""
+
+    places: list[int]
+    end: int
+    summed: set[int]
+
+
+def _spans(x: dict[str, np.ndarray], quiet_windows: int, step: float, level: float) -> list[Span]:
+    """Carries what no window function can: the sum that starts anew, and whether an alarm is open.
+
+    x holds an array a condition: gain (what a window adds to the sum, NaN where none is kept), enough, strong (opens by
+    itself), holds (keeps open), calm, counts (past the warm-up) and side.
+    """
+    done: list[Span] = []
+    total, quiet, now = 0.0, 0, None
+    for i in range(len(x["side"])):
+        summed = False
+        if not np.isnan(x["gain"][i]):
+            total = max(0.0, total + x["gain"][i] - step)
+            summed = bool(total >= level and x["enough"][i])
+            total *= not summed
+        if not x["counts"][i]:
+            continue
+        if now is None:
+            if summed or x["strong"][i]:
+                now, quiet = Span([i], -1, {i} if summed else set()), 0
+            continue
+        if (summed or x["holds"][i]) and x["side"][i] == x["side"][now.places[0]]:
+            quiet = 0
+            now.places.append(i)
+            now.summed |= {i} if summed else set()
+        elif x["calm"][i]:
+            quiet += 1
+        if quiet == quiet_windows:
+            now.end = i
+            done.append(now)
+            total, quiet, now = 0.0, 0, None
+    return done if now is None else [*done, now]
+
+
+def _table(rows: pd.DataFrame, spans: list[Span], methods, limits: Limits, peak: bool) -> pd.DataFrame:
+    """The episodes of spans: rows has value, expected, score and sample; methods(span, place) names what fired there."""
+    at = lambda column, places: rows[column].to_numpy()[places]
+    ends = (rows["ts"] + rows["grain_s"]).to_numpy()
+    out = []
+    for s in spans:
+        first = s.places[0]
+        out.append({
+            "series": rows["series"].iloc[0], "scope": rows["scope"].iloc[0], "direction": at("side", first), "window_start": at("ts", first), "window_end": ends[s.places[-1]], "detected_at": ends[first],
+            "observed": at("value", first), "expected": at("expected", first), "score": at("score", s.places).max() if peak else at("score", first), "sample": at("sample", first),
+            "methods": sorted({n for i in s.places for n in methods(s, i)}), "evidence_ts": at("ts", s.places)[: limits.most_evidence].tolist(), "recovered_at": None if s.end < 0 else ends[s.end],
+            "score_at_detection": at("score", first), "methods_at_detection": sorted(methods(s, first)),
+        })
+    frame = pd.DataFrame(out, columns=[f.split(" ")[0] for f in EPISODE.split(", ")])
+    return frame.astype({"recovered_at": "Int64"})
+
 
+def _episodes(limits: Limits, world_start: int):
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        total, now, found = 0.0, None, []
-        for x in rows.sort_values("ts").itertuples(index=False):
-            if pd.isna(x.z):
-                continue
-            fire_c = False
-            if x.cusum:
-                total = max(0.0, total + x.a - limits.cusum_k)
-                if total >= limits.cusum_h and x.enough:
-                    fire_c, total = True, 0.0
-            if x.ts < warm_until:
-                continue
-            methods = [n for n, on in (("cusum", fire_c), ("z_persistence", x.fire_p)) if on]
-            ends = int(x.ts + x.grain_s)
-            if now is None:
-                if methods:
-                    counted = x.kind == "count"
-                    now = dict(series=x.series, scope=x.scope, direction=x.side, window_start=int(x.ts), window_end=ends, detected_at=ends, observed=float(x.num if counted else x.num / x.den), expected=float(x.expected), score=float(x.a), sample=int(x.num if counted else x.den), methods=set(methods), evidence_ts=[int(x.ts)], recovered_at=None, score_at_detection=float(x.a), methods_at_detection=methods)
-                    quiet = 0
-            elif (x.flagged or fire_c) and x.side == now["direction"]:
-                quiet = 0
-                now["window_end"], now["score"] = ends, max(now["score"], float(x.a))
-                now["evidence_ts"].append(int(x.ts))
-                now["methods"].update(methods)
-            elif x.a < limits.quiet_z:
-                quiet += 1
-                if quiet >= limits.quiet_windows:
-                    found.append(now | {"recovered_at": ends})
-                    now, total = None, 0.0
-        return _table(found + [now] * (now is not None), limits)
+        rows = rows[rows["z"].notna()].sort_values("ts", ignore_index=True)
+        count = rows["kind"] == "count"
+        rows = rows.assign(value=np.where(count, rows["num"], rows["num"] / rows["den"].where(~count, 1)), score=rows["a"], sample=np.where(count, rows["num"], rows["den"]))
+        strong = rows["fire_p"].to_numpy(bool)
+        x = {
+            "gain": np.where(rows["cusum"].to_numpy(bool), rows["a"], np.nan).astype(float), "enough": rows["enough"].to_numpy(bool), "strong": strong, "holds": rows["flagged"].to_numpy(bool),
+            "calm": (rows["a"] < limits.quiet_z).to_numpy(), "counts": (rows["ts"] >= world_start + limits.warmup_days * DAY).to_numpy(), "side": rows["side"].to_numpy(),
+        }
+        fired = lambda s, i: [n for n, on in (("cusum", i in s.summed), ("z_persistence", strong[i])) if on]
+        return _table(rows, _spans(x, limits.quiet_windows, limits.cusum_k, limits.cusum_h), fired, limits, peak=True)
 
     return scan
 
 
-def _table(found: list[dict], limits: Limits) -> pd.DataFrame:
-    names = [f.split(" ")[0] for f in EPISODE.split(", ")]
-    out = pd.DataFrame(found, columns=names)
-    out["methods"] = pd.Series([sorted(x) for x in out["methods"]], dtype=object)
-    out["evidence_ts"] = pd.Series([x[: limits.most_evidence] for x in out["evidence_ts"]], dtype=object)
-    out["recovered_at"] = out["recovered_at"].astype("Int64")
-    return out
-
-
 def episodes(flags: DataFrame, world_start: int, limits: Limits = LIMITS) -> DataFrame:
     """Alarms of every series: opened by a fire after the warm-up, kept open by flags, closed by two quiet windows."""
     return flags.groupBy(*KEYS).applyInPandas(_episodes(limits, world_start), EPISODE)
@@ -236,24 +269,13 @@ def static_detector(series: DataFrame, world_start: int, limits: Limits = LIMITS
     hit = ((up & F.col("direction").isin("up", "both")) | (down & F.col("direction").isin("down", "both"))) & (off >= limits.min_excess)
     after = series.where(F.col("ts") >= warm_until).where(enough).join(ref.where("ref is not null"), [*KEYS])
     score = F.when(r != 0, F.abs(v - r) / r).otherwise(off)
-    marked = after.select(*KEYS, "ts", "grain_s", v.alias("v"), "ref", F.when(up, "up").otherwise("down").alias("side"), hit.alias("hit"), score.alias("score"), F.when(counted, F.col("num")).otherwise(F.col("den")).alias("sample"))
+    marked = after.select(*KEYS, "ts", "grain_s", v.alias("value"), F.col("ref").alias("expected"), F.when(up, "up").otherwise("down").alias("side"), hit.alias("hit"), score.alias("score"), F.when(counted, F.col("num")).otherwise(F.col("den")).alias("sample"))
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        now, found, quiet = None, [], 0
-        for x in rows.sort_values("ts").itertuples(index=False):
-            ends = int(x.ts + x.grain_s)
-            if now is None:
-                if x.hit:
-                    now, quiet = dict(series=x.series, scope=x.scope, direction=x.side, window_start=int(x.ts), window_end=ends, detected_at=ends, observed=float(x.v), expected=float(x.ref), score=float(x.score), sample=int(x.sample), methods={"static"}, evidence_ts=[int(x.ts)], recovered_at=None, score_at_detection=float(x.score), methods_at_detection=["static"]), 0
-            elif x.hit and x.side == now["direction"]:
-                quiet, now["window_end"] = 0, ends
-                now["evidence_ts"].append(int(x.ts))
-            else:
-                quiet += 1
-                if quiet >= limits.quiet_windows:
-                    found.append(now | {"recovered_at": ends})
-                    now = None
-        return _table(found + [now] * (now is not None), limits)
+        rows = rows.sort_values("ts", ignore_index=True)
+        hits, every = rows["hit"].to_numpy(bool), np.ones(len(rows), bool)
+        x = {"gain": np.full(len(rows), np.nan), "enough": every, "strong": hits, "holds": hits, "calm": every, "counts": every, "side": rows["side"].to_numpy()}
+        return _table(rows, _spans(x, limits.quiet_windows, 0.0, 0.0), lambda s, i: ["static"], limits, peak=False)
 
     return marked.groupBy(*KEYS).applyInPandas(scan, EPISODE)
 
@@ -277,19 +299,22 @@ def prefilter_low_volume(cand: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     return cand.withColumn("status", F.when(low, "suppressed").otherwise(F.col("status"))).withColumn("reason", F.when(low, "insufficient_data"))
 
 
-def link_parent(cand: DataFrame) -> DataFrame:
-    """Adds parent_id: the first global candidate of the same metric and system whose interval overlaps a scoped one's."""
+def link_parent(cand: DataFrame, series: Sequence[Series] = SERIES) -> DataFrame:
+    """Adds parent_id: of the global candidates of the same metric and system whose interval overlaps a scoped one's, suppressed
+    or not, the first in the order of series and window."""
+    nth = F.array_position(F.array(*(F.lit(s.key) for s in series)), F.col("series"))
     days = lambda: F.explode(F.sequence(F.floor(F.col("window_start") / DAY), F.floor((F.col("window_end") - 1) / DAY)))
-    whole = cand.where("scope = '' and status != 'suppressed'").select("system", "metric", F.col("anomaly_id").alias("parent"), F.col("window_start").alias("p_start"), F.col("window_end").alias("p_end"), days().alias("day"))
+    whole = cand.where("scope = ''").select("system", "metric", F.col("anomaly_id").alias("parent"), nth.alias("nth"), F.col("window_start").alias("p_start"), F.col("window_end").alias("p_end"), days().alias("day"))
     own = cand.where("scope != ''").select("system", "metric", "anomaly_id", "window_start", "window_end", days().alias("day"))
     met = own.join(whole, ["system", "metric", "day"]).where("p_start < window_end and window_start < p_end")
-    first = met.groupBy("anomaly_id").agg(F.min_by("parent", F.struct("p_start", "parent")).alias("parent_id"))
+    first = met.groupBy("anomaly_id").agg(F.min_by("parent", F.struct("nth", "p_start", "parent")).alias("parent_id"))
     return cand.join(first, "anomaly_id", "left")
 
 
 def as_of_view(cand: DataFrame) -> DataFrame:
-    """Candidates as known when they were detected."""
-    seen = {"score": F.col("score_at_detection"), "methods": F.col("methods_at_detection"), "evidence_ids": F.slice("evidence_ids", 1, 1), "window_end": F.col("detected_at"), "recovered_at": F.lit(None).cast("bigint"), "status": F.lit("promoted")}
+    """Candidates as known when they were detected: a recovery isn't known yet, a suppression is."""
+    status = F.when(F.col("status") == "recovered", "promoted").otherwise(F.col("status"))
+    seen = {"score": F.col("score_at_detection"), "methods": F.col("methods_at_detection"), "evidence_ids": F.slice("evidence_ids", 1, 1), "window_end": F.col("detected_at"), "recovered_at": F.lit(None).cast("bigint"), "status": status}
     return cand.withColumns(seen).drop("parent_id")
 
 
@@ -299,13 +324,14 @@ def decidable(cand: DataFrame) -> DataFrame:
 
 
 def concurrent_at(cand: DataFrame) -> DataFrame:
-    """anomaly_id and the other candidates detected by then that were still open."""
-    live = decidable(cand).select("anomaly_id", "detected_at", F.coalesce("recovered_at", F.lit(2**40)).alias("until"))
-    day = F.floor(F.col("detected_at") / DAY)
-    at = live.select(F.col("anomaly_id").alias("at_id"), F.col("detected_at").alias("at"), day.alias("day"))
-    last = live.agg(F.max(day)).first()[0] or 0  # one number: open ends reach no further than the last detection
-    spans = live.withColumn("day", F.explode(F.sequence(day, F.greatest(day, F.least(F.floor(F.col("until") / DAY), F.lit(last))))))
-    met = at.join(spans, "day").where("anomaly_id != at_id and detected_at <= at and until > at")
+    """anomaly_id and the other candidates known at its detection that were open at some time since its window began."""
+    live = decidable(cand).select("anomaly_id", "window_start", "detected_at", F.coalesce("recovered_at", F.lit(2**40)).alias("until"))
+    day = lambda c: F.floor(c / DAY)
+    at = live.select(F.col("anomaly_id").alias("at_id"), F.col("window_start").alias("since"), F.col("detected_at").alias("at"), F.explode(F.sequence(day(F.least("window_start", "detected_at")), day(F.col("detected_at")))).alias("day"))
+    last = live.agg(F.max(day(F.col("detected_at")))).first()[0] or 0  # one number: open ends reach no further than the last detection
+    from_ = day(F.col("detected_at"))
+    spans = live.select("anomaly_id", "window_start", "detected_at", "until", F.explode(F.sequence(from_, F.greatest(from_, F.least(day(F.col("until")), F.lit(last))))).alias("day"))
+    met = at.join(spans, "day").where("anomaly_id != at_id and detected_at <= at and window_start < at and until > since")
     return met.groupBy(F.col("at_id").alias("anomaly_id")).agg(F.sort_array(F.collect_set("anomaly_id")).alias("others"))
 
 
@@ -313,4 +339,4 @@ def detect(norm: DataFrame, start: int, end: int, system: str = "main", series:
     """The whole detector, ``main`` or ``static``."""
     long = materialized(monitored_series(norm, start, end, series), "series")
     found = episodes(flagged_series(long, limits), start, limits) if system == "main" else static_detector(long, start, limits)
-    return link_parent(prefilter_low_volume(candidate_rows(found, series, system), limits))
+    return link_parent(prefilter_low_volume(candidate_rows(found, series, system), limits), series)

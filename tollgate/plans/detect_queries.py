@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialized
 from ..operators import detect as d
 from ..operators import metrics as m
-from ..sources.driver_tables import NORM_SQL
+from ..sources.driver_tables import EPISODES_SQL, NORM_SQL, episodes_from_orders
 from .queries import END, START, add, norm
 
-#: Daily series, as the given tables hold a few attempts an hour at small scale; the gates are as in production.
-DAILY = tuple(replace(s, grain="1d") for s in d.SERIES if s.key in ("S2", "S3", "S4b", "S5", "S6", "S8", "S9", "S10", "S11"))
-
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.monitored_series(norm(spark, sf_dir), START, END, DAILY)
+    """All fourteen series at their own grains."""
+    return materialized(d.monitored_series(norm(spark, sf_dir), START, END), "series")
 
 
 def _series_sql() -> str:
     parts = []
-    for s in DAILY:
+    for s in d.SERIES:
         r = m.request(s.metric, s.version, START, END, s.grain, s.group_by, visibility="window_close")
         scope = " || ',' || ".join(f"'{x}=' || {x}" for x in s.group_by) or "''"
         parts.append(f"select '{s.key}' as series, '{s.metric}' as metric, {s.version} as version, {r.seconds} as grain_s, '{s.direction}' as direction, '{s.kind}' as kind, {str(s.cusum).lower()} as cusum, {scope} as scope, window_start as ts, numerator as num, denominator as den from ({m.compute_sql(r)}) where is_complete")
@@ -77,7 +74,7 @@ def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.detect(norm(spark, sf_dir), START, END, "main", DAILY)
+    return d.detect(norm(spark, sf_dir), START, END)
 
 
 add("e1_monitored_series", series, WITH + "select * from series")
@@ -89,11 +86,28 @@ add("e6_robust_phi", lambda s, sf: _rounded(d.robust_phi(_scored(s, sf)).select(
 add("e7_oriented_score", lambda s, sf: _rounded(d.oriented(d.robust_phi(_scored(s, sf))).select("series", "scope", "ts", "a", "side"), "a"), WITH + "select series, scope, ts, round(a, 6) as a, side from orient")
 add("e8_point_flags", lambda s, sf: _flags(s, sf).select("series", "scope", "ts", "enough", "flagged", "recent", "fire_p"), WITH + "select series, scope, ts, enough, flagged, recent, fire_p from flags")
 add("e9_cusum_e10_episodes", lambda s, sf: d.episodes(_flags(s, sf), START))
-add("e11_candidate_rows", lambda s, sf: d.candidate_rows(d.episodes(_flags(s, sf), START), DAILY))
 add("e12_static_detector", lambda s, sf: d.static_detector(series(s, sf), START))
-add("e13_prefilter_low_volume", lambda s, sf: d.prefilter_low_volume(d.candidate_rows(d.static_detector(series(s, sf), START), DAILY, "static")))
-add("e14_link_parent", lambda s, sf: d.link_parent(d.candidate_rows(d.static_detector(series(s, sf), START), DAILY, "static")).select("anomaly_id", "metric", "scope", "parent_id"))
-add("e15_as_of_view", lambda s, sf: d.as_of_view(_candidates(s, sf)))
-add("e16_concurrent_at", lambda s, sf: d.concurrent_at(_candidates(s, sf)))
-add("e17_decidable", lambda s, sf: d.decidable(_candidates(s, sf)))
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the alarms made of orders; the detector's own are in e18_detect."""
+    return d.link_parent(d.prefilter_low_volume(d.candidate_rows(episodes_from_orders(spark, sf_dir))))
+
+
+_FLAT = "anomaly_id, system, series, metric, version, grain, scope, direction, window_start, window_end, detected_at, round(observed, 6) as observed, round(expected, 6) as expected, round(delta, 6) as delta, round(relative_delta, 6) as relative_delta, score, sample_size, array_to_string(methods, ',') as methods, array_to_string(evidence_ids, ',') as evidence_ids, status, recovered_at, score_at_detection, array_to_string(methods_at_detection, ',') as methods_at_detection"
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """Arrays as text, so that both engines' results compare."""
+    joined = {c: F.array_join(c, ",") for c in ("methods", "evidence_ids", "methods_at_detection")}
+    return _rounded(df.withColumns(joined), "observed", "expected", "delta", "relative_delta")
+
+
+add("e11_candidate_rows", lambda s, sf: _flat(d.candidate_rows(episodes_from_orders(s, sf))), f"with {EPISODES_SQL} select {_FLAT} from candidates")
+add("e13_prefilter_low_volume", lambda s, sf: d.prefilter_low_volume(d.candidate_rows(episodes_from_orders(s, sf))).select("anomaly_id", "metric", "sample_size", "status", "reason"), f"with {EPISODES_SQL} select anomaly_id, metric, sample_size, status, reason from filtered")
+add("e14_link_parent", lambda s, sf: _linked(s, sf).select("anomaly_id", "metric", "scope", "parent_id"), f"with {EPISODES_SQL} select anomaly_id, metric, scope, parent_id from linked")
+add("e15_as_of_view", lambda s, sf: _flat(d.as_of_view(_linked(s, sf))), f"with {EPISODES_SQL}, seen as (select * replace (score_at_detection as score, methods_at_detection as methods, evidence_ids[1:1] as evidence_ids, detected_at as window_end, null::bigint as recovered_at, case status when 'recovered' then 'promoted' else status end as status) from linked) select {_FLAT}, reason from seen")
+add("e16_concurrent_at", lambda s, sf: d.concurrent_at(_linked(s, sf)).select("anomaly_id", F.size("others").alias("n"), F.md5(F.array_join("others", ",")).alias("others")), f"""with {EPISODES_SQL}, live as (select anomaly_id, window_start, detected_at, coalesce(recovered_at, 1099511627776) as until from linked where system = 'main' and status in ('promoted', 'recovered'))
+select c.anomaly_id, cast(count(*) as int) as n, md5(string_agg(o.anomaly_id, ',' order by o.anomaly_id)) as others from live c join live o on o.detected_at <= c.detected_at and o.until > c.window_start and o.window_start < c.detected_at and o.anomaly_id != c.anomaly_id group by 1""")
+add("e17_decidable", lambda s, sf: d.decidable(_linked(s, sf)).select("anomaly_id", "status", "detected_at"), f"with {EPISODES_SQL} select anomaly_id, status, detected_at from linked where status in ('promoted', 'recovered')")
 add("e18_detect", lambda s, sf: d.detect(norm(s, sf), START, END))

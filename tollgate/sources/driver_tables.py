@@ -106,3 +106,76 @@ norm as (
          'evt_' || event_id as raw_event_id, event_id * 16 + ordinal as raw_seq
   from parts)
 """
+
+
+#: series, metric, version, grain, seconds, scope's dimension and direction of the episodes made of orders.
+EPISODE_SERIES = (
+    ("S1", "authorization_rate", 1, "15m", 900, "", "down"), ("S2", "authorization_rate", 1, "1h", 3600, "psp", "down"), ("S3", "authorization_rate", 1, "1d", 86400, "customer_country", "down"), ("S3h", "authorization_rate", 1, "1h", 3600, "customer_country", "down"),
+    ("S4a", "checkout_conversion_rate", 2, "1h", 3600, "", "down"), ("S4b", "checkout_conversion_rate", 2, "1h", 3600, "platform", "down"), ("S5", "renewal_success_rate", 1, "1d", 86400, "psp", "down"), ("S5b", "dunning_recovery_rate", 1, "1d", 86400, "psp", "down"),
+    ("S6", "refund_count", 1, "1d", 86400, "customer_country", "up"), ("S7", "duplicate_charge_rate", 1, "1h", 3600, "", "up"), ("S8", "attempt_volume", 1, "1h", 3600, "psp", "both"), ("S9", "fraud_flag_rate", 1, "1h", 3600, "", "up"),
+    ("S10", "subscription_cancellation_rate", 2, "1d", 86400, "customer_country", "up"), ("S11", "late_arrival_share", 1, "1h", 3600, "", "up"),
+)
+_VALUES = {"psp": ("psp_alpha", "psp_beta", "psp_gamma"), "customer_country": ("DE", "US", "BR", "GB"), "platform": ("web", "ios", "android")}
+
+
+def _sql_list(xs) -> str:
+    return "array(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in xs) + ")"
+
+
+def episodes_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An alarm an order, a quarter of an hour apart, in the form that the detectors' scans give."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    pick = lambda i: F.element_at(F.expr(_sql_list([s[i] for s in EPISODE_SERIES])), (F.col("k") % len(EPISODE_SERIES)).cast("int") + 1)
+    value = lambda d: F.concat(F.lit(f"{d}="), F.element_at(F.expr(_sql_list(_VALUES[d])), (F.col("c") % len(_VALUES[d])).cast("int") + 1))
+    o = o.withColumns({"series": pick(0), "grain_s": pick(4).cast("bigint"), "dim": pick(5), "towards": pick(6), "ts": EPOCH_2024 + F.col("k") * 900})
+    scope = F.when(F.col("dim") == "psp", value("psp")).when(F.col("dim") == "customer_country", value("customer_country")).when(F.col("dim") == "platform", value("platform")).otherwise("")
+    k, c, t, g = (F.col(x) for x in ("k", "c", "ts", "grain_s"))
+    end = t + g * (1 + c % 3)
+    return o.select(
+        "series", scope.alias("scope"), F.when(F.col("towards") != "both", F.col("towards")).when(k % 2 == 0, "up").otherwise("down").alias("direction"), t.alias("window_start"), end.alias("window_end"), (t + g).alias("detected_at"),
+        (k % 100 / 100.0).alias("observed"), (c % 50 / 100.0).alias("expected"), (k % 80 / 10.0).alias("score"), (k % 61).alias("sample"), F.when(k % 3 == 0, F.array(F.lit("cusum"), F.lit("z_persistence"))).otherwise(F.array(F.lit("z_persistence"))).alias("methods"),
+        F.array(t, t + g).alias("evidence_ts"), F.when(k % 4000 != 0, end + 2 * g).alias("recovered_at"), (k % 40 / 10.0).alias("score_at_detection"), F.array(F.lit("z_persistence")).alias("methods_at_detection"),
+    )
+
+
+def _duck_pick(xs, i: str) -> str:
+    return "[" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in xs) + f"][{i} + 1]"
+
+
+_N = len(EPISODE_SERIES)
+EPISODES_SQL = f"""
+src as (select o_orderkey as k, o_custkey as c, {_duck_pick([s[0] for s in EPISODE_SERIES], f"o_orderkey % {_N}")} as series, {_duck_pick([s[4] for s in EPISODE_SERIES], f"o_orderkey % {_N}")}::bigint as grain_s,
+  {_duck_pick([s[5] for s in EPISODE_SERIES], f"o_orderkey % {_N}")} as dim, {_duck_pick([s[6] for s in EPISODE_SERIES], f"o_orderkey % {_N}")} as towards, {EPOCH_2024} + o_orderkey * 900 as ts from orders),
+episodes as (select series, case dim {" ".join(f"when '{d}' then '{d}=' || {_duck_pick(v, f'c % {len(v)}')}" for d, v in _VALUES.items())} else '' end as scope, case when towards != 'both' then towards when k % 2 = 0 then 'up' else 'down' end as direction,
+  ts as window_start, ts + grain_s * (1 + c % 3) as window_end, ts + grain_s as detected_at, (k % 100) / 100.0::double as observed, (c % 50) / 100.0::double as expected, (k % 80) / 10.0::double as score, k % 61 as sample,
+  case when k % 3 = 0 then ['cusum', 'z_persistence'] else ['z_persistence'] end as methods, [ts, ts + grain_s] as evidence_ts, case when k % 4000 != 0 then ts + grain_s * (3 + c % 3) end as recovered_at, (k % 40) / 10.0::double as score_at_detection, ['z_persistence'] as methods_at_detection from src),
+spec(series, metric, version, grain, grain_s) as (values {", ".join(str((s[0], s[1], s[2], s[3], s[4])) for s in EPISODE_SERIES)}),
+candidates as (select 'anom_' || sha256(concat_ws('|', 'main', series, metric, version::varchar, scope, window_start::varchar))[1:16] as anomaly_id, 'main' as system, series, metric, version, grain, scope, direction, window_start, window_end, detected_at, observed, expected,
+  observed - expected as delta, case when expected != 0 then (observed - expected) / expected end as relative_delta, score, sample as sample_size, methods,
+  list_transform(evidence_ts, lambda t: 'evd_' || sha256(concat_ws('|', metric, version::varchar, scope, grain, t::varchar))[1:16]) as evidence_ids, case when recovered_at is null then 'promoted' else 'recovered' end as status, recovered_at, score_at_detection, methods_at_detection
+  from episodes join spec using (series)),
+filtered as (select * replace (case when sample_size < 30 and metric != 'attempt_volume' then 'suppressed' else status end as status), case when sample_size < 30 and metric != 'attempt_volume' then 'insufficient_data' end as reason from candidates),
+linked as (select f.*, p.parent_id from filtered f left join (select c.anomaly_id, arg_min(g.anomaly_id, {{'n': list_position({[s[0] for s in EPISODE_SERIES]}, g.series), 'w': g.window_start, 'p': g.anomaly_id}}) as parent_id
+  from filtered c join filtered g on g.scope = '' and c.scope != '' and g.metric = c.metric and g.system = c.system and g.window_start < c.window_end and c.window_start < g.window_end group by 1) p using (anomaly_id))
+"""
+
+
+def truth_from_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled record a supplier, in the form that read_truth gives."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    return s.selectExpr(
+        "concat('rec_', k) as record_key", "concat('kind_', k % 4) as scenario_kind", "element_at(array('incident', 'watch', 'suppress'), cast(k % 3 as int) + 1) as expected_route", f"{EPOCH_2024} + k * 64000 as start",
+        f"case when k % 25 != 0 then {EPOCH_2024} + k * 64000 + 86400 * (1 + k % 3) end as `end`", f"case when k % 2 = 0 then {EPOCH_2024} + k * 64000 + 86400 * (1 + k % 3) + 7200 end as expected_recovery", f"case when k % 5 != 0 then {EPOCH_2024} + k * 64000 + 3600 end as oracle_detectable_at",
+        "case k % 4 when 0 then array(map('psp', array('psp_alpha'))) when 1 then array(map('customer_country', array('DE', 'US')), map('platform', array('ios'))) when 2 then array(map('psp', array('psp_beta'), 'customer_country', array('BR'))) else cast(array() as array<map<string,array<string>>>) end as affected_cohorts",
+        "case k % 5 when 0 then array('charge_approval_rate') when 1 then array('payment_intent_conversion_rate', 'refund_rate') when 2 then array('ingestion_delay') when 3 then array('renewal_success_rate') else array('fraud_flag_rate') end as affected_metrics",
+        "case k % 5 when 0 then array('refund_rate') when 4 then array('charge_approval_rate', 'charge_attempt_volume') else cast(array() as array<string>) end as unchanged_metrics",
+    )
+
+
+TRUTH_SQL = f"""
+truth as (select 'rec_' || s_suppkey as record_key, 'kind_' || s_suppkey % 4 as scenario_kind, ['incident', 'watch', 'suppress'][s_suppkey % 3 + 1] as expected_route, {EPOCH_2024} + s_suppkey * 64000 as start,
+  case when s_suppkey % 25 != 0 then {EPOCH_2024} + s_suppkey * 64000 + 86400 * (1 + s_suppkey % 3) end as stop, case when s_suppkey % 2 = 0 then {EPOCH_2024} + s_suppkey * 64000 + 86400 * (1 + s_suppkey % 3) + 7200 end as expected_recovery, case when s_suppkey % 5 != 0 then {EPOCH_2024} + s_suppkey * 64000 + 3600 end as oracle_detectable_at,
+  case s_suppkey % 4 when 0 then '|psp=psp_alpha' when 1 then '|customer_country=DE,customer_country=US|platform=ios' when 2 then '|psp=psp_beta,customer_country=BR' else '' end as cohorts,
+  case s_suppkey % 5 when 0 then ['charge_approval_rate'] when 1 then ['payment_intent_conversion_rate', 'refund_rate'] when 2 then ['ingestion_delay'] when 3 then ['renewal_success_rate'] else ['fraud_flag_rate'] end as affected_metrics,
+  case s_suppkey % 5 when 0 then ['refund_rate'] when 4 then ['charge_approval_rate', 'charge_attempt_volume'] else [] end as unchanged_metrics from supplier)
+"""
