@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialized
 from ..operators import cohorts as c
 from ..operators import metrics as m
+from ..operators.detect import detect
 from ..sources.driver_tables import NORM_SQL, PLANTED
 from .queries import END, START, add, norm
 
@@ -26,8 +28,25 @@ def pooled(spark: SparkSession, sf_dir: str, metric: str = "authorization_rate")
     return c.pool_before_during(tables(spark, sf_dir, metric), asked(spark), START)
 
 
+def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pooled, tested and new cohorts, each written once."""
+    rows = materialized(pooled(spark, sf_dir), "pooled")
+    return rows, materialized(c.tested_cohorts(rows), "tested"), materialized(c.new_cohorts(rows), "new-cohorts")
+
+
+def loci(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    rows, t, new = parts(spark, sf_dir)
+    return rows, t, new, c.locus(t, rows, new, c.change_label(rows, new))
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector's own candidates, explained."""
+    events = norm(spark, sf_dir)
+    return c.analyze_candidates(events, detect(events, START, END), START, END)
+
+
 def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.tested_cohorts(pooled(spark, sf_dir))
+    return c.tested_cohorts(materialized(pooled(spark, sf_dir), "pooled"))
 
 
 def _sql(metric: str = "authorization_rate") -> str:
@@ -84,12 +103,25 @@ add("f6_p_value", lambda s, sf: _round(tested(s, sf).select(*_keys, "p"), "p"),
 add("f7_benjamini_hochberg", lambda s, sf: _round(tested(s, sf).select(*_keys, "discovery", "q"), "q"), RATE + f"select {KEYS}, discovery, round(q, 6) as q from tested")
 add("f8_decompose_rate", lambda s, sf: _round(c.decompose(pooled(s, sf)).select(*_keys, "rate_part", "composition_part"), "rate_part", "composition_part"), RATE + f"select {KEYS}, round(rate_part, 6) as rate_part, round(composition_part, 6) as composition_part from dec")
 add("f9_decompose_count", lambda s, sf: _round(c.decompose(pooled(s, sf, "attempt_volume")).select(*_keys, "rate_part"), "rate_part"), COUNT + f"select {KEYS}, round(rate_part, 6) as rate_part from dec")
-add("f10_new_cohorts", lambda s, sf: c.new_cohorts(pooled(s, sf)).select(*_keys, "z", "p", "q", "discovery", "contribution"))
-add("f11_change_label", lambda s, sf: _round(c.change_label(pooled(s, sf)), "rate_share"), RATE + f"""select candidate_id, case when b is null then 'insufficient_data' when b.share >= {c.HIGH} then 'rate_change' when b.share <= {c.LOW} then 'mix_shift' else 'mixed' end as label, b.combination as combination, round(b.share, 6) as rate_share
-from (select distinct candidate_id from pooled) left join (select candidate_id, arg_min({{'share': share, 'combination': combination}}, {{'share': share, 'combination': combination}}) as b from (select candidate_id, combination, r / (r + c) as share from (select candidate_id, combination, abs(sum(rate_part)) as r, abs(sum(composition_part)) as c, count(*) filter (where n_b >= {c.SUPPORT} and n_d >= {c.SUPPORT}) as s from dec group by 1, 2) where s >= 2 and r + c > 0) group by 1) using (candidate_id)""")
-add("f12_locus", lambda s, sf: c.locus(tested(s, sf), pooled(s, sf)))
-add("f14_rank_top_cohorts", lambda s, sf: c.rank_top_cohorts(tested(s, sf)).select("candidate_id", "cohort", "nth"), RATE + f"select candidate_id, cohort, nth from (select *, row_number() over (partition by candidate_id order by toward * rate_part desc, abs(z) desc, cohort) as nth from tested where discovery) where nth <= {c.TOP}")
-add("f15_controls", lambda s, sf: c.controls(tested(s, sf), c.locus(tested(s, sf), pooled(s, sf))))
+
+# the new cohorts as SQL, and what explains enough of the change
+NEWS = RATE + f""", ntot as (select d.*, coalesce(phi, 1.0) as phi, case when direction = 'down' then -1.0 else 1.0 end as toward, sum(rate_part + composition_part) over (partition by candidate_id, combination) as total from dec d left join phis using (candidate_id, combination)),
+nz as (select *, kd - k_d as rest_k, nd - n_d as rest_n from ntot where n_b < {c.SUPPORT} and n_d >= {c.SUPPORT} and nd - n_d >= {c.SUPPORT}),
+np as (select *, 2 * (asin(sqrt(least(1.0, k_d / n_d))) - asin(sqrt(least(1.0, rest_k / rest_n)))) / sqrt(phi * (1 / rest_n + 1 / n_d)) as z from nz),
+nq as (select *, case when toward * z >= 0 then tail else 1 - tail end as p from (select *, 0.3989422804014327 * exp(-z * z / 2) * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) as tail from (select *, 1 / (1 + 0.2316419 * abs(z)) as t from np))),
+nb as (select *, row_number() over (partition by candidate_id order by p, combination, cohort) as rank, count(*) over (partition by candidate_id) as of_ from nq),
+news as (select *, coalesce(rank <= max(case when p <= {c.BH_Q} * rank / of_ then rank end) over (partition by candidate_id), false) as discovery, min(least(1.0, p * of_ / rank)) over (partition by candidate_id order by rank rows between current row and unbounded following) as q,
+  (k_d / n_d - rest_k / rest_n) * n_d / nd as contribution, case when total != 0 then (k_d / n_d - rest_k / rest_n) * n_d / nd / total else 0.0 end as coverage from nb),
+fresh as (select candidate_id, arg_max(cohort, {{'v': coverage, 'c': cohort}}) as cohort, arg_max(combination, {{'v': coverage, 'c': cohort}}) as combination from news where discovery and coverage >= {c.COVERAGE} group by 1),
+shares as (select candidate_id, arg_min({{'share': share, 'combination': combination}}, {{'share': share, 'combination': combination}}) as b from (select candidate_id, combination, r / (r + c) as share from (select candidate_id, combination, abs(sum(rate_part)) as r, abs(sum(composition_part)) as c, count(*) filter (where n_b >= {c.SUPPORT} and n_d >= {c.SUPPORT}) as s from dec group by 1, 2) where s >= 2 and r + c > 0) group by 1),
+labels as (select candidate_id, case when f.cohort is not null then 'new_cohort' when b is null then 'insufficient_data' when b.share >= {c.HIGH} then 'rate_change' when b.share <= {c.LOW} then 'mix_shift' else 'mixed' end as label, coalesce(f.combination, b.combination) as combination, b.share as rate_share from (select distinct candidate_id from pooled) left join shares using (candidate_id) left join fresh f using (candidate_id))
+"""
+add("f10_new_cohorts", lambda s, sf: _round(c.new_cohorts(materialized(pooled(s, sf), "pooled")).select(*_keys, "z", "p", "q", "discovery", "contribution", "coverage"), "z", "p", "q", "contribution", "coverage"), NEWS + f"select {KEYS}, round(z, 6) as z, round(p, 6) as p, round(q, 6) as q, discovery, round(contribution, 6) as contribution, round(coverage, 6) as coverage from news")
+add("f11_change_label", lambda s, sf: _round(c.change_label(*parts(s, sf)[::2]), "rate_share"), NEWS + "select candidate_id, label, combination, round(rate_share, 6) as rate_share from labels")
+add("f12_locus_f13_canonical", lambda s, sf: loci(s, sf)[3])
+add("f14_rank_top_cohorts", lambda s, sf: c.rank_top_cohorts(*parts(s, sf)[1:]), NEWS + f"select candidate_id, cohort, nth from (select candidate_id, cohort, row_number() over (partition by candidate_id order by turn, towards desc, z desc, cohort) as nth from (select candidate_id, cohort, 0 as turn, 0.0 as towards, 0.0 as z from fresh union all select candidate_id, cohort, 1, toward * rate_part, abs(z) from tested where discovery)) where nth <= {c.TOP}")
+add("f15_controls", lambda s, sf: (lambda x: c.controls(x[1], x[3]))(loci(s, sf)))
+add("f17_f18_f23_analyze_candidates", analyses)
 add("f16_impact_estimate", lambda s, sf: _round(c.impact_estimate(tested(s, sf)), "value", "low", "high"), RATE + f"""select {KEYS}, round(v, 6) as value, round(v - 1.96 * sd, 6) as low, round(v + 1.96 * sd, 6) as high
 from (select *, toward * (rd - rb) * n_d as v, sqrt(phi * (rb * (1 - rb) / n_b + rd * (1 - rd) / n_d)) * n_d as sd from (select *, least(1.0, k_b / n_b) as rb, least(1.0, k_d / n_d) as rd from tested))""")
-add("f20_naive_locus", lambda s, sf: _round(c.naive_locus(tested(s, sf)), "move"), RATE + "select candidate_id, arg_max(cohort, {'m': move, 'c': cohort}) as naive_locus, round(max(move), 6) as move from (select *, case when k_b > 0 then toward * (k_d / n_d - k_b / n_b) / (k_b / n_b) end as move from tested) where move > 0 group by 1")
+add("f20_naive_locus", lambda s, sf: _round(c.naive_locus(tested(s, sf)), "move"), RATE + "select candidate_id, arg_min(cohort, {'m': -move, 'c': cohort}) as naive_locus, round(max(move), 6) as move from (select *, case when k_b > 0 then toward * (k_d / n_d - k_b / n_b) / (k_b / n_b) end as move from tested) where move > 0 group by 1")
