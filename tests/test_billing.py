@@ -14,7 +14,7 @@ def test_bad_requests(bad):
 
 def _raw(spark, rows):
     names = raw_events.FLAT
-    schema = ", ".join(f"{n} {'bigint' if n in ('seq', 'created', 'delivered_at', 'amount') else 'string'}" for n in names)
+    schema = ", ".join(f"{n} {'bigint' if n in ('seq', 'created', 'delivered_at', *raw_events.NUMBERS) else 'string'}" for n in names)
     return spark.createDataFrame([tuple(({"run_id": "r", "amount": 5, "currency": "eur", "created": 100 + r["seq"]} | r).get(n) for n in names) for r in rows], schema)
 
 
@@ -156,3 +156,24 @@ def test_status_near_by_buckets(spark):
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
     joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x]
     assert len(joins) == 2 and all("b#" in x or "broadcast" in x for x in joins)
+
+
+def test_replace_run_with_nothing(spark, tmp_path):
+    """Replacing a run by no rows leaves none; a wrong count changes nothing; files of several parts are numbered through."""
+    path = str(tmp_path / "t")
+    rows = spark.range(5).withColumn("x", F.lit(1))
+    raw_events.replace_run(rows, path, "a")
+    raw_events.replace_run(rows, path, "b")
+    with pytest.raises(ValueError):
+        raw_events.replace_run(rows, path, "a", replace=True, expected=4)
+    assert spark.read.parquet(path).where("run_id = 'a'").count() == 5
+    raw_events.replace_run(rows.limit(0), path, "a", replace=True)
+    left = spark.read.parquet(path)
+    assert left.where("run_id = 'a'").count() == 0 and left.where("run_id = 'b'").count() == 5
+    for i in range(3):
+        (tmp_path / f"l{i}.json").write_text("".join('{"id":"e%d_%d","type":"x"}' % (i, j) + chr(10) for j in range(4)))
+    got = raw_events.read_raw_events(spark, str(tmp_path / "l*.json"), "r").collect()
+    assert sorted(r.seq for r in got) == list(range(12))
+    for i in range(3):
+        own = sorted((r.seq, r.id) for r in got if r.id.startswith(f"e{i}_"))
+        assert [x[1] for x in own] == [f"e{i}_{j}" for j in range(4)]

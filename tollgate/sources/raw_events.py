@@ -5,6 +5,8 @@ Flat raw events have one row an envelope with the columns of ``FLAT``; ``seq`` i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,18 +20,22 @@ PATHS = {
     "channel": ("metadata.channel",), "psp": ("metadata.psp",), "customer_country": ("metadata.customer_country", "customer_address.country", "address.country"), "currency": ("currency", "items.data[0].price.currency"),
     "payment_method_type": ("payment_method_details.type",), "card_brand": ("payment_method_details.card.brand", "card.brand"), "platform": ("metadata.platform",), "app_version": ("metadata.app_version",),
     "plan": ("metadata.plan",), "amount": ("amount", "amount_due", "items.data[0].price.unit_amount"), "status": ("status",), "failure_code": ("failure_code",), "outcome_reason": ("outcome.reason",),
+    "payment_method": ("payment_method", "default_payment_method"), "amount_received": ("amount_received",), "amount_refunded": ("amount_refunded",), "amount_paid": ("amount_paid",), "period_start": ("current_period_start",), "period_end": ("current_period_end",), "object_created": ("created",),
 }
+NUMBERS = ("amount", "amount_received", "amount_refunded", "amount_paid", "period_start", "period_end", "object_created")
 FLAT = ("run_id", "seq", "id", "type", "object_type", "created", "delivered_at", "idempotency_key", *PATHS, "issuer_country", "prev_status", "prev_period")
 
 
 def read_raw_events(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """Envelopes of JSON lines (gzip or not) with run_id and seq, the line's place in its file.
+    """Envelopes of JSON lines (gzip or not) with run_id and seq, the total order of the run.
 
-    ``seq`` comes from a ``seq`` field where the lines have one; else lines keep the order in which Spark reads the
-    files, numbered without gathering them.
+    ``seq`` comes from a ``seq`` field where the lines have one, as those of several files must; else it is the line's
+    place in the order in which Spark reads the input, numbered by partition without gathering lines or Python.
     """
-    lines = spark.read.text(path)
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("value string, nth bigint")
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    part = F.shiftright("at", 33).alias("part")
+    before = lines.groupBy(part).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = lines.withColumn("part", part).join(F.broadcast(before), "part").withColumn("nth", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))  # a row a partition
     given = F.get_json_object("value", "$.seq").cast("bigint")
     parsed = numbered.select(F.coalesce(given, "nth").alias("seq"), F.from_json("value", ENVELOPE).alias("e"))
     return parsed.select(F.lit(run_id).alias("run_id"), "seq", "e.*")
@@ -39,7 +45,9 @@ def flatten_raw(raw: DataFrame) -> DataFrame:
     """Envelopes to flat raw events, by paths into the object; the payment method's country lies under a key named by its type."""
     at = lambda p: F.get_json_object("data", f"$.object.{p}")
     columns = {name: F.coalesce(*map(at, paths)) for name, paths in PATHS.items()}
-    columns["amount"] = columns["amount"].cast("bigint")
+    columns |= {n: columns[n].cast("bigint") for n in NUMBERS}
+    # a payment method's own type is its object's
+    columns["payment_method_type"] = F.coalesce(columns["payment_method_type"], F.when(at("object") == "payment_method", at("type")))
     kinds = ("card", "sepa_debit", "us_bank_account", "ideal", "link", "klarna")
     issuer = F.coalesce(*(F.when(at("payment_method_details.type") == k, at(f"payment_method_details.{k}.country")) for k in kinds))
     flat = raw.select(
@@ -84,10 +92,12 @@ def replace_run(df: DataFrame, path: str, run_id: str, replace: bool = False, ex
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run_id}")
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) and not replace:
         raise ValueError(f"run {run_id} exists; say replace to write it anew")
-    df.withColumn("run_id", F.lit(run_id)).write.partitionBy("run_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-    found = spark.read.parquet(path).where(F.col("run_id") == run_id).count()
-    if expected is not None and found != expected:
+    if expected is not None and (found := df.count()) != expected:
         raise ValueError(f"run {run_id} has {found} rows; the manifest says {expected}")
+    if df.isEmpty():  # a dynamic overwrite touches only partitions that get rows
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return
+    df.withColumn("run_id", F.lit(run_id)).write.partitionBy("run_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -129,7 +139,8 @@ def raw_from_orders(spark: SparkSession, sf_dir: str, dirty: bool = False) -> Da
     day = F.floor(F.col("created") / 86_400).alias("day")
     days = both.groupBy(day).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("day", "before")
     ordered = both.withColumn("day", day).withColumn("nth", F.row_number().over(W.partitionBy("day").orderBy("created", "id"))).join(days, "day")
-    return ordered.withColumn("seq", F.col("before") + F.col("nth")).withColumns({n: null for n in ("invoice", "subscription", "charge", "plan", "prev_status", "prev_period")} | {"delivered_at": F.lit(None).cast("bigint")}).select(*FLAT)
+    absent = {n: null for n in ("invoice", "subscription", "charge", "plan", "prev_status", "prev_period", "payment_method")} | {n: F.lit(None).cast("bigint") for n in ("delivered_at", *NUMBERS[1:])}
+    return ordered.withColumn("seq", F.col("before") + F.col("nth")).withColumns(absent).select(*FLAT)
 
 
 def raw_sql(dirty: bool = False) -> str:
@@ -149,3 +160,59 @@ both_ as (
     case when l_linestatus != 'O' and l_returnflag = 'N' then 'highest_risk_level' end as outcome_reason, 'card' as payment_method_type, 'visa' as card_brand, ['DE', 'US', 'BR', 'GB'][o_custkey % 4 + 1] as issuer_country from li),
 raw as (select *, row_number() over (order by created, id) as seq from both_)
 """
+
+
+#: A customer's billing as envelopes, one entry a kind of event: when it happens and its columns, as expressions over c
+#: (the customer's key) that Spark and DuckDB read alike. Every rule of the checks is broken by some customers.
+_SUB, _PAID = "c % 3 = 0", "c % 6 = 0"
+_RENEWAL = {"customer": "concat('cus_', c)", "psp": "case c % 3 when 0 then 'psp_alpha' when 1 then 'psp_beta' else 'psp_gamma' end", "currency": "'eur'", "customer_country": "'DE'", "platform": "'server'"}
+_INTENT = _RENEWAL | {"object_type": "'payment_intent'", "object_id": "concat('pi_in_', c)", "payment_intent": "concat('pi_in_', c)", "invoice": "concat('in_', c)", "payment_method": "concat('pm_', c)", "channel": "'renewal'", "amount": "1000 + c"}
+_CHARGE = _RENEWAL | {"object_type": "'charge'", "payment_intent": "concat('pi_in_', c)", "invoice": "concat('in_', c)", "channel": "'renewal'", "amount": "1000 + c", "payment_method_type": "'card'", "card_brand": "'visa'", "issuer_country": "'DE'"}
+_INVOICE = {"customer": "concat('cus_', c)", "object_type": "'invoice'", "object_id": "concat('in_', c)", "invoice": "concat('in_', c)", "subscription": "case when c % 33 = 0 then concat('sub_gone_', c) else concat('sub_', c) end", "currency": "'eur'", "customer_country": "'DE'", "amount": "1000 + c"}
+_SUBSCRIPTION = {"customer": "concat('cus_', c)", "object_type": "'subscription'", "object_id": "concat('sub_', c)", "subscription": "concat('sub_', c)", "invoice": "concat('in_', c)", "plan": "case when c % 16 = 0 then '' else concat('plan_', c % 4) end", "period_start": "600200000 + c", "period_end": "600200000 + c + case when c % 60 = 0 then 0 else 2592000 end"}
+_REFUND = {"object_type": "'refund'", "charge": "concat('ch_in_', c)", "payment_intent": "concat('pi_in_', c)", "psp": "'psp_alpha'", "currency": "'eur'", "channel": "'renewal'", "status": "case when c % 84 = 0 then 'failed' when c % 12 = 0 then 'succeeded' else 'pending' end"}
+BILLING = (
+    ("customer.created", "c % 97 != 0", "600000000 + c", {"object_type": "'customer'", "object_id": "concat('cus_', c)", "object_created": "600000000 + c + case when c % 95 = 0 then 5 else 0 end"}),
+    ("payment_method.attached", "c % 89 != 0", "600100000 + c", {"object_type": "case when c % 88 = 0 then 'card' else 'payment_method' end", "object_id": "concat('pm_', c)", "customer": "concat('cus_', c)", "payment_method_type": "case when c % 101 = 0 then 'cheque' when c % 5 = 0 then 'sepa_debit' else 'card' end"}),
+    ("customer.subscription.created", _SUB, "600200000 + c", _SUBSCRIPTION | {"invoice": "cast(null as varchar(9))", "status": "'active'"}),
+    ("invoice.created", _SUB, "600300000 + c", _INVOICE | {"status": "case when c % 45 = 0 then 'open' else 'draft' end"}),
+    ("payment_intent.created", _SUB, "600400000 + c", _INTENT | {"status": "'requires_payment_method'", "idempotency_key": "case when c % 2 = 0 then 'key' end"}),
+    ("charge.succeeded", _PAID, "600400010 + c", _CHARGE | {"object_id": "concat('ch_in_', c)", "amount": "1000 + c + case when c % 66 = 0 then 1 else 0 end", "status": "'succeeded'"}),
+    ("charge.failed", "c % 6 = 3", "600400010 + c", _CHARGE | {"object_id": "concat('ch_in_', c)", "status": "'failed'", "failure_code": "case when c % 27 = 0 then null when c % 9 = 3 then 'processing_error' else 'card_declined' end", "outcome_reason": "case when c % 21 = 0 then 'highest_risk_level' end"}),
+    ("charge.succeeded", "c % 6 = 3", "600400610 + c", _CHARGE | {"object_id": "concat('ch_again_', c)", "status": "'succeeded'"}),
+    ("payment_intent.succeeded", _SUB, "600400700 + c", _INTENT | {"status": "'succeeded'", "amount_received": "1000 + c - case when c % 72 = 0 then 1 else 0 end"}),
+    ("charge.succeeded", "c % 78 = 0", "600400800 + c", _CHARGE | {"object_id": "concat('ch_late_', c)", "status": "'succeeded'"}),
+    ("payment_intent.canceled", "c % 75 = 0", "600400900 + c", _INTENT | {"status": "'canceled'", "amount": "1000 + c + case when c % 2 = 0 then 1 else 0 end"}),
+    ("invoice.payment_failed", "c % 6 = 3", "600450000 + c", _INVOICE | {"status": "'open'"}),
+    ("invoice.paid", _SUB, "600500000 + c", _INVOICE | {"status": "'paid'", "amount_paid": "case when c % 54 = 0 then 0 else 1000 + c end"}),
+    ("customer.subscription.updated", _SUB, "600600000 + c", _SUBSCRIPTION | {"status": "case when c % 51 = 0 then 'paused' when c % 6 = 0 then 'active' else 'past_due' end", "prev_period": "case when c % 6 = 0 then '1' end"}),
+    ("customer.subscription.deleted", "c % 12 = 0", "600700000 + c", _SUBSCRIPTION | {"status": "'canceled'", "prev_status": "case when c % 24 = 0 then 'active' else 'past_due' end"}),
+    ("refund.created", _PAID, "600800000 + c", _REFUND | {"object_id": "concat('re_', c)", "amount": "500"}),
+    ("refund.created", "c % 18 = 0", "600850000 + c", _REFUND | {"object_id": "concat('re_more_', c)", "amount": "1000 + c"}),
+    ("charge.refunded", "c % 12 = 0", "600900000 + c", _CHARGE | {"object_id": "concat('ch_in_', c)", "status": "'succeeded'", "amount_refunded": "case when c % 36 = 0 then 500 + 1000 + c when c % 30 = 0 then 1 else 500 end"}),
+    ("order.shipped", "c % 93 = 0", "600950000 + c", {"object_type": "'order'", "object_id": "concat('or_', c)"}),
+)
+_KINDS = {n: "bigint" if n in ("created", "delivered_at", *NUMBERS) else "string" for n in FLAT if n not in ("run_id", "seq")}
+
+
+def _event(i: int, kind: str, at: str, own: dict[str, str]) -> dict[str, str]:
+    fixed = {"id": f"concat('evt_{i}_', c)", "type": f"'{kind}'", "created": at, "delivered_at": f"case when c % 2 = 0 then {at} + c % 7 * 100 end"}
+    return {n: f"cast({(fixed | own).get(n, 'null')} as {k})" for n, k in _KINDS.items()}
+
+
+def raw_from_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat raw events of every object kind: BILLING over the customers, numbered by (created, id)."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("c"))
+    parts = [c.where(when).selectExpr("'run' as run_id", *(f"{x} as {n}" for n, x in _event(i, kind, at, own).items())) for i, (kind, when, at, own) in enumerate(BILLING)]
+    every = reduce(DataFrame.unionByName, parts)
+    # times fall into spans of a day, numbered within; each span starts after those before it
+    day = F.floor(F.col("created") / 86_400).alias("day")
+    days = every.groupBy(day).agg(F.count("*").alias("n")).select("day", F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ordered = every.withColumn("day", day).withColumn("nth", F.row_number().over(W.partitionBy("day").orderBy("created", "id"))).join(days, "day")
+    return ordered.withColumn("seq", F.col("before") + F.col("nth")).select(*FLAT)
+
+
+def customers_sql() -> str:
+    """The DuckDB twin of raw_from_customers: expressions that end in ``raw``."""
+    parts = " union all ".join(f"select 'run' as run_id, {', '.join(f'{x} as {n}' for n, x in _event(i, kind, at, own).items())} from k where {when}" for i, (kind, when, at, own) in enumerate(BILLING))
+    return f"k as (select c_custkey as c from customer), every as ({parts}), raw as (select *, row_number() over (order by created, id) as seq from every)"
