@@ -114,10 +114,37 @@ def test_policy_rows(spark):
 
 
 def test_verify_answers(spark):
-    q = {"severity": ("low", "high"), "kind": ("a", "b")}
-    rows = [("ok", [("severity", {"low": 0.4, "high": 0.6}), ("kind", {"a": 1.0})]), ("bad", [("severity", {"low": 0.4, "mid": 0.4}), ("severity", {"low": 2.0})])]
-    got = {r.request_hash: r.reasons for r in decide.verify_answers(spark.createDataFrame(rows, "request_hash string, answers array<struct<qid:string,probs:map<string,double>>>"), q).collect()}
-    assert got["ok"] == [] and set(got["bad"]) == {"missing_question", "duplicate_question", "invalid_option", "out_of_range", "choice_sum"}
+    """Every reason code, alone where it can be, and a recorded error."""
+    import json
+
+    q = {"p_incident": (), "severity": ("low", "high")}
+    fine = [("p_incident", {"p": 0.4}), ("severity", {"probs": {"low": 0.4, "high": 0.6}, "confidence": 0.9})]
+    pick = lambda **x: [("p_incident", {"p": 0.4}), ("severity", x)]
+    base = dict(request_hash="h", state_hash="s", schema_version="v1", question_set="q1", as_of=100, evaluated_at=100, state={"strength": "strong", "impact": "not_provided"}, provenance={"strength": ["evd_1"]}, error=None, r_request_hash="h", r_state_hash="s", r_schema_version="v1", r_question_set="q1", model="m", request_at=100, response_at=110, raw_bytes=50, answers=fine)
+    cases = {
+        "": {}, "missing_question": dict(answers=fine[:1]), "duplicate_question": dict(answers=[*fine, fine[0]]), "unknown_question": dict(answers=[*fine, ("other", {"p": 2})]), "invalid_option": dict(answers=pick(probs={"low": 0.4, "mid": 0.6}, confidence=1)), "cardinality": dict(answers=pick(probs={"low": 1.0}, confidence=1)),
+        "inconsistent_choice": dict(answers=pick(probs={"low": 0.4, "high": 0.7}, confidence=1)), "out_of_range": dict(answers=[("p_incident", {"p": 1.4}), fine[1]]), "out_of_range ": dict(answers=pick(probs={"low": 0.4, "high": 0.6}, confidence=7)), "schema": dict(answers=[("p_incident", {"q": 0.4}), fine[1]]), "schema ": dict(answers=pick(probs=3, confidence=1)), "schema  ": dict(answers=None),
+        "missing_provenance": dict(provenance={}), "state_hash_mismatch": dict(r_state_hash="x"), "state_hash_mismatch ": dict(r_request_hash="x"), "schema_version_mismatch": dict(r_schema_version=None), "question_set_mismatch": dict(r_question_set="x"), "model_mismatch": dict(model=""), "stale_response": dict(response_at=99),
+        "stale_response ": dict(response_at=9_999), "stale_response  ": dict(request_at=90, response_at=95), "oversized_response": dict(raw_bytes=20_000), "error": dict(error="timeout", answers=None, model=None, r_state_hash=None),
+    }
+    schema = "request_hash string, state_hash string, schema_version string, question_set string, as_of long, evaluated_at long, state map<string,string>, provenance map<string,array<string>>, error string, r_request_hash string, r_state_hash string, r_schema_version string, r_question_set string, model string, request_at long, response_at long, raw_bytes long, answers array<struct<qid:string,payload:string>>"
+    rows = []
+    for name, change in cases.items():
+        row = base | change | ({"request_hash": name, "r_request_hash": name} if "r_request_hash" not in change else {"request_hash": name})
+        rows.append(tuple({**row, "answers": None if row["answers"] is None else [(i, json.dumps(x)) for i, x in row["answers"]]}[f.split(" ")[0]] for f in schema.split(", ")))
+    got = {r.request_hash: (r.reasons, r.verified) for r in decide.verify_answers(spark.createDataFrame(rows, schema), q, "m").collect()}
+    want = {n: ["timeout"] if n == "error" else [n.strip()] if n else [] for n in cases}
+    want["schema  "] = ["schema"]
+    assert {n: r for n, (r, _) in got.items()} == want and all(ok == (not r) for r, ok in got.values())
+    assert {c.strip() for c in cases} - {"", "error"} == set(decide.REASONS)
+
+
+def test_decision_records(spark):
+    rows = [("c1", 5, "s", "h", True, [], "INCIDENT", "r8_incident"), ("c2", 5, "s", "h", False, ["schema", "cardinality"], "INCIDENT", "r8_incident"), ("c3", 5, "s", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "candidate_id string, as_of long, state_hash string, request_hash string, verified boolean, reasons array<string>, route string, rule string")
+    got = {r.candidate_id: r for r in decide.decision_records(df).collect()}
+    assert [(got[c].route, got[c].rule, got[c].reason) for c in ("c1", "c2", "c3")] == [("INCIDENT", "r8_incident", None), ("DIGEST", "r0_unverified", "schema"), ("DIGEST", "r0_unverified", "no_answer")]
+    assert len({r.decision_id for r in got.values()}) == 3 and decide.decision_records(df).first().decision_id == got["c1"].decision_id
 
 
 def test_lifecycle(spark):

@@ -170,7 +170,7 @@ _INTENT = _RENEWAL | {"object_type": "'payment_intent'", "object_id": "concat('p
 _CHARGE = _RENEWAL | {"object_type": "'charge'", "payment_intent": "concat('pi_in_', c)", "invoice": "concat('in_', c)", "channel": "'renewal'", "amount": "1000 + c", "payment_method_type": "'card'", "card_brand": "'visa'", "issuer_country": "'DE'"}
 _INVOICE = {"customer": "concat('cus_', c)", "object_type": "'invoice'", "object_id": "concat('in_', c)", "invoice": "concat('in_', c)", "subscription": "case when c % 33 = 0 then concat('sub_gone_', c) else concat('sub_', c) end", "currency": "'eur'", "customer_country": "'DE'", "amount": "1000 + c"}
 _SUBSCRIPTION = {"customer": "concat('cus_', c)", "object_type": "'subscription'", "object_id": "concat('sub_', c)", "subscription": "concat('sub_', c)", "invoice": "concat('in_', c)", "plan": "case when c % 16 = 0 then '' else concat('plan_', c % 4) end", "period_start": "600200000 + c", "period_end": "600200000 + c + case when c % 60 = 0 then 0 else 2592000 end"}
-_REFUND = {"object_type": "'refund'", "charge": "concat('ch_in_', c)", "payment_intent": "concat('pi_in_', c)", "psp": "'psp_alpha'", "currency": "'eur'", "channel": "'renewal'", "status": "case when c % 84 = 0 then 'failed' when c % 12 = 0 then 'succeeded' else 'pending' end"}
+_REFUND = {"object_type": "'refund'", "charge": "case when c % 48 = 0 then concat('ch_gone_', c) else concat('ch_in_', c) end", "payment_intent": "concat('pi_in_', c)", "psp": "'psp_alpha'", "currency": "'eur'", "channel": "'renewal'", "status": "case when c % 84 = 0 then 'failed' when c % 12 = 0 then 'succeeded' else 'pending' end"}
 BILLING = (
     ("customer.created", "c % 97 != 0", "600000000 + c", {"object_type": "'customer'", "object_id": "concat('cus_', c)", "object_created": "600000000 + c + case when c % 95 = 0 then 5 else 0 end"}),
     ("payment_method.attached", "c % 89 != 0", "600100000 + c", {"object_type": "case when c % 88 = 0 then 'card' else 'payment_method' end", "object_id": "concat('pm_', c)", "customer": "concat('cus_', c)", "payment_method_type": "case when c % 101 = 0 then 'cheque' when c % 5 = 0 then 'sepa_debit' else 'card' end"}),
