@@ -12,8 +12,7 @@ Three steps in one narrow stage, without a shuffle:
 
 A block ends at the first document that brings it to ``block_bytes`` of text. Once a partition's distinct pieces take
 ``MOST_BYTES``, the numbering starts anew, which repeats merges but changes no result; so memory is bounded by these two
-and by the longest text. Texts are read whole. Partitions of the scan are read ``together`` at a time by one task, as a
-piece is merged once a partition.
+and by the longest text. Texts are read whole.
 
 A fold looks at a whole piece at every merge, so it is for words. Pieces above ``LONG`` bytes (runs of letters, blanks or
 signs without a break) merge in rounds instead: all places of the lowest rank at once, in a pass of numpy (``merged_long``).
@@ -37,7 +36,7 @@ from .common import let
 #: Primes whose product exceeds every pair key (left << 16 | right), so two keys never agree in both remainders.
 BUCKETS, SLOTS = 65_537, 131_071
 NO_RANK = 1 << 16
-MOST_BYTES = 80 << 20
+MOST_BYTES = 128 << 20
 LONG = 64
 
 
@@ -239,14 +238,13 @@ def _join(tokens: list[bytes]):
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = 2 << 20, together: int = 2) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded (the ids' bytes) of every document."""
     byte_tokens = [ranks[bytes([b])] for b in range(256)]
     tokens = [piece for piece, _ in sorted(ranks.items(), key=lambda x: x[1])]
     tables = tuple(np.array(x, np.int64) for x in perfect_hash(pair_ranks(ranks)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // together)
-    blocks = texts.coalesce(tasks).mapInArrow(_split(pattern, byte_tokens, tables, block_bytes), _BLOCK)
+    blocks = texts.mapInArrow(_split(pattern, byte_tokens, tables, block_bytes), _BLOCK)
     # bound once, as every further place in the plan would hold a copy of the tables
     merges = blocks.withColumn("pieces", let(rank_tables(tables), lambda t: F.transform("pieces", lambda p: merged(p, t))))
     return merges.mapInArrow(_join(tokens), "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
