@@ -28,7 +28,7 @@ from .common import durable, let
 
 #: Letters of scripts without spaces, one by one, or runs of anything else but white space.
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-_UNITS = rf"[{_UNSPACED}]|[^\x20\x09-\x0D{_UNSPACED}]+"
+_UNIT = rf"(?:[{_UNSPACED}]|[^\x20\x09-\x0D{_UNSPACED}]++)"
 
 
 def _key(line: Column) -> Column:
@@ -65,7 +65,8 @@ def dedup(docs: DataFrame, site: str = "source", min_sites: int = 6, min_words:
     # the columns of docs stay inside one, so that no name of theirs meets one made here
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col(site).alias("site"), F.xxhash64("text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed"))).alias("row"))
     each = rows.select(F.col("id").alias("doc_id"), "key", F.concat(F.lit("s"), F.col("site")).alias("site"), F.posexplode(F.split("body", "\n")).alias("pos", "line"))
-    each = each.where(F.regexp_count("line", F.lit(_UNITS)) >= min_words)
+    # anchored and without backtracking: no more of a line is read than its first min_words words
+    each = each.where(F.col("line").rlike(rf"^[\x20\x09-\x0D]*+(?:{_UNIT}[\x20\x09-\x0D]*+){{{min_words}}}"))
     lines = durable(each.select(_key(F.col("line")).alias("k"), F.coalesce("site", F.lit("")).alias("site"), "doc_id", "key", "pos"), "lines")
     widely = durable(spread(lines, min_sites, rsd), "lines-spread")
     marks = lines.join(widely, "k").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
