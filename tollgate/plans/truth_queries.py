@@ -24,12 +24,12 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     gone = F.when(k % 22 == 0, F.array(F.lit("seed"), F.lit("ramp"))).when(k % 11 == 0, F.array(F.lit("seed"))).otherwise(F.array().cast("array<string>"))
     one = lambda **dims: F.array(F.create_map(*(x for d, v in dims.items() for x in (F.lit(d), F.array(F.lit(v))))))
-    figures = {"charge_attempts": (k % 400).cast("double")} | {a: (k % 10) / 10.0 if b else (k % 4).cast("double") for _, a, b in t.DIRECTIONS} | {b: F.lit(0.45) for _, _, b in t.DIRECTIONS if b}
+    figures = {"charge_attempts": (k % 400).cast("double")} | {a: (k % 10) / 10.0 if b else (k % 5).cast("double") for _, a, b in t.DIRECTIONS} | {b: F.lit(0.45) for _, _, b in t.DIRECTIONS if b}
     return rows.select(
         "*", F.array_except(F.array(*map(F.lit, t.REQUIRED)), gone).alias("fields"), F.array(F.lit("charge_approval_rate")).alias("affected_metrics"), F.when(k % 21 == 0, F.array(F.lit("refund_rate"), F.lit("charge_approval_rate"))).otherwise(F.array(F.lit("refund_rate"))).alias("unchanged_metrics"),
         F.when(k % 9 == 0, one(psp="psp_zeta")).when(k % 10 == 0, one(city="x")).otherwise(one(psp="psp_alpha")).alias("affected_cohorts"), F.when(k % 14 == 0, one(psp="psp_alpha")).otherwise(one(psp="psp_beta", platform="web")).alias("control_cohorts"),
         F.array(F.when(k % 15 == 0, "scn_0:nope").when(k % 16 == 0, F.concat("scenario_id", F.lit(":"), "record_key")).otherwise("inc_z")).alias("unrelated_to"), F.array(F.when(k % 18 == 0, F.concat(F.lit("st_none_"), k)).otherwise(F.concat(F.lit("st_"), k))).alias("side_signals"),
-        F.element_at(F.array(*(F.lit(m) for m, _, _ in t.DIRECTIONS)), (k % 6).cast("int") + 1).alias("primary_metric"), F.create_map(*(x for name, v in figures.items() for x in (F.lit(name), v))).alias("measured"),
+        F.element_at(F.array(*(F.lit(m) for m, _, _ in t.DIRECTIONS)), (F.floor(k / 3) % 6).cast("int") + 1).alias("primary_metric"), F.create_map(*(x for name, v in figures.items() for x in (F.lit(name), v))).alias("measured"),
     )
 
 
@@ -60,7 +60,7 @@ _RULES = {
     "duplicate_incident_id": "select count(incident_id) - count(distinct incident_id) from i where inc and incident_id != 'x'", "unrelated_to_unknown": "select count(*) from c where k % 15 = 0",
 }
 add("b22_truth_record_rules", lambda s, sf: t.truth_record_rules(records(s, sf)), WITH + " union all ".join(f"select '{name}' as \"check\", ({sql})::bigint as violations" for name, sql in _RULES.items()))
-_BAD = lambda n, b: f"select 'direction_{t.DIRECTIONS[n][0]}' as \"check\", (select count(*) from i where inc and k % 400 >= 200 and k % 6 = {n} and {'(k % 10) / 10.0 >= 0.45' if b else 'k % 4 = 0'}) as violations"
+_BAD = lambda n, b: f"select 'direction_{t.DIRECTIONS[n][0]}' as \"check\", (select count(*) from i where inc and k % 400 >= 200 and k // 3 % 6 = {n} and {'(k % 10) / 10.0 >= 0.45' if b else 'k % 5 = 0'}) as violations"
 add("b23_truth_effect_direction", lambda s, sf: t.truth_effect_direction(records(s, sf)), WITH + " union all ".join(_BAD(n, b) for n, (_, _, b) in enumerate(t.DIRECTIONS)))
 add("b24_truth_scenario_coverage", lambda s, sf: t.truth_scenario_coverage(records(s, sf), s.read.parquet(f"{sf}/nation.parquet").select(F.concat(F.lit("scn_"), F.col("n_nationkey") * 2).alias("scenario_id"))), "select 'scenario_without_record' as \"check\", count(*) as violations from nation where n_nationkey * 2 not in (select c_custkey % 40 from customer)")
 add("b25_side_signal_rules", lambda s, sf: t.side_signal_rules(records(s, sf), deployments(s, sf), status(s, sf).withColumn("note", F.when(F.split_part("id", F.lit("_"), F.lit(2)).cast("bigint") % 50 == 0, "no dunning_failure here"))), "select 'side_signal_missing' as \"check\", count(*) as violations from customer where c_custkey % 18 = 0 union all select 'cause_in_side_file', count(distinct 'dunning_failure') from customer where c_custkey % 50 = 0")
