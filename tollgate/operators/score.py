@@ -98,3 +98,16 @@ def attach_answers(requests: DataFrame, answers: DataFrame, most_bytes: int = 4_
     detail = F.when(large, F.concat(F.col("size_bytes").cast("string"), F.lit(" bytes"))).when(F.col("found").isNull(), "no recorded response").when(F.col("error").isNotNull(), at("detail"))
     rows = requests.join(found, "request_hash", "left").withColumn("error_kind", kind).withColumn("detail", detail)
     return rows.withColumn("response", F.when(F.col("error_kind").isNull(), F.col("response"))).drop("found", "error")
+
+
+def tune_call_budget(runs: DataFrame, slack: float = 0.01) -> DataFrame:
+    """budget, the share top3 of investigations of real incidents with their cause among the first three, and chosen: the smallest budget
+    whose share is within ``slack`` of the largest budget's.
+
+    runs: budget, top3, false_positive. Only the row a budget goes into the window.
+    """
+    per = runs.groupBy("budget").agg(F.coalesce(F.avg(F.when(~F.col("false_positive"), F.col("top3").cast("double"))), F.lit(0.0)).alias("top3"))
+    every = W.partitionBy(F.lit(0))
+    most = F.max_by("top3", "budget").over(every)
+    fits = per.withColumn("fits", F.col("top3") >= most - slack)
+    return fits.withColumn("chosen", F.col("budget") == F.min(F.when(F.col("fits"), F.col("budget"))).over(every)).drop("fits")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import detect as d
 from ..operators import score as z
+from ..operators.correlate import correlate_pairs
 from ..operators.truth_checks import CAUSES
 from ..sources.driver_tables import DAY, EPISODES_SQL, TRUTH_SQL, episodes_from_orders, truth_from_suppliers
-from . import evaluate_queries  # noqa: F401  registers j3_match_status
+from . import evaluate_queries
 from .queries import QUERIES, SQL, add
 
 DAYS = 27.0
@@ -74,8 +75,8 @@ select nth, count(*) as n, avg(case kind when '{z.ADDED_TRAFFIC}' then label = '
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every alarm's first match as its link, into an incident a day."""
-    found = QUERIES["h2_first_matches"](spark, sf_dir).where("member is not null").select("candidate", "member")
+    """Every correlated pair of alarms as a link, into an incident a day; late data may anchor any metric."""
+    found = correlate_pairs(evaluate_queries._hourly_cand(spark, sf_dir), ingestion_anchors=True).select("candidate", "member")
     starts = _alarms(spark, sf_dir).select(F.col("candidate_id").alias("candidate"), F.floor(F.col("window_start") / DAY).alias("incident_id"), "sample_size")
     return found.join(starts, "candidate").select("incident_id", F.col("candidate").alias("candidate_id"), "member", F.when(F.col("sample_size") % 5 == 0, "create").otherwise("join").alias("kind"))
 
@@ -85,7 +86,7 @@ def _merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day.withColumn("wrong_merge", F.col("incident_id") % 2 == 0).withColumn("campaign_merge", F.col("incident_id") % 3 == 0)
 
 
-add("j15_ingestion_hub_joins", lambda s, sf: z.ingestion_hub_joins(_links(s, sf), _alarms(s, sf), _merges(s, sf)), f"""with {EPISODES_SQL}, fm as ({SQL["h2_first_matches"]}),
+add("j15_ingestion_hub_joins", lambda s, sf: z.ingestion_hub_joins(_links(s, sf), _alarms(s, sf), _merges(s, sf)), evaluate_queries.PAIRS.replace("or a.grp = 'ingestion')", "or a.grp = 'ingestion' or b.grp = 'ingestion')") + f""", fm as (select candidate, member from pairs),
 j as (select c.window_start // {DAY} as day from fm join candidates c on c.anomaly_id = candidate join candidates m on m.anomaly_id = member where c.sample_size % 5 != 0 and m.metric = 'late_arrival_share' and c.metric != 'late_arrival_share')
 select count(*) as joins, count(distinct day) as incidents, count(distinct day) filter (where day % 2 = 0) as wrong_merge_incidents, count(distinct day) filter (where day % 3 = 0) as campaign_merge_incidents from j""")
 
@@ -99,3 +100,13 @@ def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 add("g5_attach_answers", lambda s, sf: z.attach_answers(*_answers(s, sf)), """select sha256(o_orderkey::varchar) as request_hash, o_orderkey % 5000 as size_bytes, case when size_bytes > 4096 then 'oversized_request' when o_orderkey % 5 = 0 then 'replay_miss' when o_orderkey % 7 = 0 then 'timeout' end as error_kind,
 case when error_kind is null then 'r' || o_orderkey end as response, case error_kind when 'oversized_request' then size_bytes || ' bytes' when 'replay_miss' then 'no recorded response' when 'timeout' then 'late' end as detail from orders""")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every alarm as an investigation that finds its cause once it has enough calls; some alarms are false."""
+    budgets = F.explode(F.array(*map(F.lit, (3, 5, 7, 9, 12, 40))))
+    return _alarms(spark, sf_dir).select((F.col("sample_size") % 11 == 0).alias("false_positive"), "sample_size", budgets.alias("budget")).withColumn("top3", F.col("sample_size") % 9 < F.col("budget"))
+
+
+add("k4_tune_call_budget", lambda s, sf: z.tune_call_budget(_runs(s, sf)), f"""with {EPISODES_SQL}, b as (select unnest([3, 5, 7, 9, 12, 40]) as budget, sample_size from candidates), t as (select budget, coalesce(avg((sample_size % 9 < budget)::int) filter (where sample_size % 11 != 0), 0.0) as top3 from b group by 1)
+select budget, top3, budget = (select min(budget) from t where top3 >= (select arg_max(top3, budget) from t) - 0.01) as chosen from t""")
