@@ -97,3 +97,66 @@ select d.arrival, doc_id, d.n_bytes, text_md5, run_id, tier, case when merged th
        case when merged then ('0x' || md5(doc_id::varchar)[1:8])::bigint % n_files end as file_no
 from d join n3 on d.arrival = n3.run join s on s.run_id = n3.dest
 """
+
+SQL["op11_fill_in_middle"] = r"""
+with base as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as lines,
+         sha256('7:' || coalesce(doc_id::varchar, '')) as d
+  from documents),
+drawn as (
+  select *, len(lines)::bigint as n, ('0x' || d[1:8])::bigint as h1, ('0x' || d[9:16])::bigint as h2, ('0x' || d[17:24])::bigint as h3, ('0x' || d[25:32])::bigint as h4 from base),
+cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form
+  from drawn),
+parts as (
+  select *, array_to_string(lines[1:low], '') as prefix, array_to_string(lines[low + 1:high], '') as middle, array_to_string(lines[high + 1:], '') as suffix from cut)
+select doc_id, n, form, case when form != 'plain' then length(prefix) end::bigint as prefix_chars, case when form != 'plain' then length(middle) end::bigint as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from parts"""
+
+SQL["op12_embedding_dedup"] = """
+with recursive sound as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x != 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from sound a join sound b on a.label = b.label and a.vec_id != b.vec_id and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+found as (select a, min(b) as component_id from reach group by a)
+select vec_id, (select count(*) from links where a = vec_id)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings join found on a = vec_id"""
+
+# crc32 as a fold over the bits of the decimal doc_id's bytes: a step of 0 or more brings in a byte, one below 0 shifts
+SQL["op13_periodic_runs"] = r"""
+with base as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])) as steps
+  from documents),
+hashed as (
+  select rid, doc_id, w, len(w)::bigint as n,
+         xor(list_reduce(list_prepend(4294967295::bigint, steps), lambda c, s: case when s >= 0 then xor(c, s) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end), 4294967295::bigint) as h
+  from base),
+parted as (select *, h // 10 as g, case when n > 0 then (h // 10) % n else 0 end as a from hashed),
+looped as (
+  select rid, doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(0, n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) else w end as w
+  from parted),
+placed as (select rid, n, unnest(w) as word, unnest(range(0, n)) as i from looped),
+pairs as (
+  select y.rid, y.i, y.i - x.i as lag from placed x join placed y on x.rid = y.rid and x.word = y.word and x.i < y.i and y.i - x.i <= x.n // 4),
+isles as (select rid, lag, i, i - row_number() over (partition by rid, lag order by i) as isle from pairs),
+long as (
+  select rid, min(i) - lag as start, max(i) + 1 as stop, lag from isles group by rid, lag, isle
+  having count(*) + lag >= greatest(6, 4 * lag)),
+runs as (select rid, start, stop - start as length, min(lag) as period from long group by rid, start, stop),
+told as (
+  select rid, count(*)::bigint as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as told,
+         arg_min(struct_pack(start := start, length := length, period := period), struct_pack(l := -length, s := start, p := period)) as best from runs group by rid),
+gone as (select distinct rid, unnest(range(start + period, start + length)) as i from runs),
+dropped as (select rid, list(i) as gone from gone group by rid),
+kept as (
+  select rid, doc_id, array_to_string(list_filter(w, lambda x, k: gone is null or not list_contains(gone, k - 1)), ' ') as collapsed
+  from looped left join dropped using (rid))
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.start::bigint as start, best.length::bigint as length, best.period::bigint as period,
+       (1000 * best.length // best.period)::bigint as exponent_milli, sha256(coalesce(told, '')) as runs_sha256, sha256(collapsed) as collapsed_sha256
+from kept left join told using (rid)"""

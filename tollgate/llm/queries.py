@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, license_scan, line_dedup, mixing, near_dedup, oracles, quality_rules, sharding, url_filter, vector_search
-from .common import shared_folder, table
+from . import byte_bpe, embedding_dedup, fill_in_middle, language_id, license_scan, line_dedup, mixing, near_dedup, oracles, periodic_runs as runs, quality_rules, sharding, url_filter, vector_search
+from .common import let, shared_folder, table, words
 
 
 LOADS = 16
@@ -81,6 +81,41 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_good_lines", F.md5("cleaned").alias("cleaned_md5"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("form"), F.col("output"))
+    return cut.select("doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_components(table(spark, sf_dir, "embeddings"))
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """doc_id and text: a tenth of the documents, by a digest of doc_id, repeat a stretch of words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def looped(w):
+        n, a = F.size(w), F.pmod(g, F.greatest(F.size(w), F.lit(1)))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        of = lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), of), " "))
+
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words(F.col("text")), looped)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs over the documents, a tenth of them with loops."""
+    found = runs.periodic_runs(with_loops(table(spark, sf_dir, "documents")))
+    # the greatest length, then the smallest start and period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    found = found.select("*", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"))
+    return found.select("doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | {"license_lines": license_lines}
 
