@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import durable
 from .near_dedup import components
@@ -54,8 +55,8 @@ def _scaled(v: np.ndarray) -> np.ndarray:
 
 def _pack(key: tuple, rows: pa.Table) -> pa.Table:
     label, d, blk = (x.as_py() for x in key)
-    v = _scaled(rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
-    ints, scales, errors = quantised(v)
+    v = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+    ints, scales, errors = quantised(_scaled(v.astype(float)))
     whole = lambda c: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)
     held = {"label": [label], "d": pa.array([d], pa.int32()), "blk": pa.array([blk], pa.int32()), "ids": [whole("rep").tobytes()], "copies": [whole("copies").tobytes()]}
     return pa.table(held | {"ints": [ints.tobytes()], "scales": [scales.tobytes()], "errors": [errors.tobytes()], "vectors": [v.tobytes()]})
@@ -75,7 +76,8 @@ class Block:
     def __init__(self, rows: list[dict]):
         d, read = rows[0]["d"], lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in rows])
         self.ids, self.copies, self.scales, self.errors = read("ids", np.int64), read("copies", np.int64), read("scales", float), read("errors", float)
-        self.ints, self.v = read("ints", np.int8).reshape(-1, d), read("vectors", float).reshape(-1, d)
+        kind = np.float32 if len(rows[0]["vectors"]) == len(rows[0]["ints"]) * 4 else float
+        self.ints, self.v = read("ints", np.int8).reshape(-1, d), _scaled(read("vectors", kind).reshape(-1, d).astype(float))
         self.norms = np.sqrt((self.v * self.v).sum(1))
 
 
@@ -134,7 +136,7 @@ def _meet(least: float, tile: int):
 def _vectors(vectors: DataFrame, columns: tuple[str, str, str]) -> DataFrame:
     """vec_id, label, v: a row a vec_id; label and v are null where nothing of it can link."""
     vec_id, embedding, label = columns
-    v = F.col(embedding).cast("array<double>")
+    v = F.col(embedding) if vectors.schema[embedding].dataType == ArrayType(FloatType()) else F.col(embedding).cast("array<double>")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = F.col(vec_id).isNotNull() & F.col(label).isNotNull() & v.isNotNull() & F.forall(v, fine) & F.exists(v, lambda x: x != 0)
     one = F.when(sound, F.struct(F.col(label).cast("string").alias("label"), v.alias("v")))
@@ -162,9 +164,12 @@ def near_components(vectors: DataFrame, least: float = 0.93, columns: tuple[str,
     ties = durable(ties, "vector-ties")
 
     found = components(ties.select(F.col("rep").alias("node")).distinct(), ties.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = ties.groupBy("rep").agg(F.sum("links").alias("links")).join(found, F.col("rep") == F.col("node")).select("rep", "links", "comp")
-    told = classes.join(counts, "rep", "left").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("comp", "rep").alias("comp"))
-    # null vectors meet nothing and keep their own id
-    whole = rows.join(told, ["label", "v"], "left")
+    linked = ties.groupBy("rep").agg(F.sum("links").alias("links")).join(found, F.col("rep") == F.col("node")).select("rep", "links", "comp")
+    told = classes.select("rep", "copies").join(linked, "rep", "left").where("copies > 1 or links > 0")
+    told = durable(told.select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("comp", "rep").alias("comp")), "vector-links")
+    # only vectors with copies are looked for again by what they hold; the others are their class
+    copied = rows.join(classes.where("copies > 1").select("label", "v", "rep"), ["label", "v"]).where("vec_id != rep").select(F.col("vec_id").alias("copy"), "rep")
+    members = told.select(F.col("rep").alias("member"), "links", "comp").unionByName(copied.join(told, "rep").select(F.col("copy").alias("member"), "links", "comp"))
+    whole = rows.select("vec_id").join(members, F.col("vec_id") == F.col("member"), "left")
     component = F.coalesce("comp", "vec_id")
     return whole.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
