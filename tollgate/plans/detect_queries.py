@@ -9,6 +9,7 @@ from ..functions.storage import materialized
 from ..operators import detect as d
 from ..operators import metrics as m
 from ..sources.driver_tables import EPISODES_SQL, NORM_SQL, episodes_from_orders
+from ..streaming.detect import UPDATE, episodes_so_far, stream_detect
 from .queries import END, START, add, norm
 
 
@@ -111,3 +112,17 @@ add("e16_concurrent_at", lambda s, sf: d.concurrent_at(_linked(s, sf)).select("a
 select c.anomaly_id, cast(count(*) as int) as n, md5(string_agg(o.anomaly_id, ',' order by o.anomaly_id)) as others from live c join live o on o.detected_at <= c.detected_at and o.until > c.window_start and o.window_start < c.detected_at and o.anomaly_id != c.anomaly_id group by 1""")
 add("e17_decidable", lambda s, sf: d.decidable(_linked(s, sf)).select("anomaly_id", "status", "detected_at"), f"with {EPISODES_SQL} select anomaly_id, status, detected_at from linked where status in ('promoted', 'recovered')")
 add("e18_detect", lambda s, sf: d.detect(norm(s, sf), START, END))
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All series as a stream of closed windows; the episodes that its updates amount to are those of e9_cusum_e10_episodes."""
+    source = series(spark, sf_dir)
+    folder = source.inputFiles()[0].rsplit("/", 1)[0]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    found = stream_detect(spark.readStream.schema(source.schema).parquet(folder), START)
+    write = lambda df, _: df.write.mode("append").parquet(f"{folder}-episodes")
+    found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
+    return episodes_so_far(spark.read.schema(UPDATE).parquet(f"{folder}-episodes"))
+
+
+add("s3_stream_detect", streamed)
