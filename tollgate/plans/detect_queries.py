@@ -28,10 +28,10 @@ def _series_sql() -> str:
 
 
 L = d.LIMITS
-WITH = f"""with {NORM_SQL}, series as ({_series_sql()}),
-refs as (
+WITH = f"""with {NORM_SQL.replace("norm as (", "norm as materialized (", 1)}, series as materialized ({_series_sql()}),
+refs as materialized (
   select s.series, s.scope, s.ts, r.kind, r.ts as ref_ts, r.num as ref_num, r.den as ref_den, l.lag, case when r.kind = 'count' then r.num::double else r.num / r.den end as ref_value
-  from series s join (select unnest({list(L.lags)}) as lag) l on true join series r on r.series = s.series and r.scope = s.scope and r.ts = s.ts - l.lag * 86400
+  from (select *, unnest({list(L.lags)}) as lag from series) l join series s on s.series = l.series and s.scope = l.scope and s.ts = l.ts + l.lag * 86400 join series r on r.series = l.series and r.scope = l.scope and r.ts = l.ts
   where r.kind = 'count' or r.den > 0),
 ranked as (
   select *, count(*) over (partition by series, scope, ts) as n, row_number() over (partition by series, scope, ts order by abs(ref_value - mid) desc, lag desc) as nth

@@ -112,7 +112,8 @@ class _Scan(StatefulProcessor):
                     total, quiet, alarm = 0.0, 0, None
 
         self.windows.put([(ts, *x) for ts, x in windows.items() if ts > last - longest])
-        self.history.put([(z,) for z in history])
+        if history:  # a list state can't be empty
+            self.history.put([(z,) for z in history])
         self.now.update((last, total, flags, quiet, json.dumps(alarm) if alarm else None))
         yield pd.DataFrame(list(out.values()), columns=_COLUMNS).astype({"recovered_at": "Int64"})
 
