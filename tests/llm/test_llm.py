@@ -137,6 +137,64 @@ def test_license_passages_are_exhaustive(spark):
     assert got == want and 10 < len(want) < 60
 
 
+def _picked(text, notices, t=80):
+    """The passages by brute force: every window between two bigrams of a notice, the best first, none over another."""
+    norm = lambda x: [w for w in re.sub(r"[^\w]+|_", " ", x.lower()).split(" ") if w]
+    w = norm(text)
+    a, found = list(zip(w, w[1:])), []
+    for name, notice in notices.items():
+        n = norm(notice)
+        b = set(zip(n, n[1:]))
+        reach = (200 - t) * len(b) // t
+        for i in (i for i in range(len(a)) if a[i] in b):
+            seen = set()
+            for j in range(i, min(len(a), i + reach)):
+                seen.add(a[j])
+                shared = len(seen & b)
+                if a[j] in b and 200 * shared >= t * (len(seen) + len(b)):
+                    found.append((-2.0 * shared / (len(seen) + len(b)), -shared, name, i, j + 1, len(seen)))
+    kept = []
+    for x in sorted(found):
+        if all(y[3] > x[4] or x[3] > y[4] for y in kept):
+            kept.append(x)
+    return sorted((x[2], x[3], x[4] - x[3] + 1, -x[1], x[5]) for x in kept)
+
+
+def test_license_passages_of_long_templates(spark):
+    """Perturbed full licences: the very windows of brute force, whatever follows them."""
+    rng = random.Random(12)
+    long = {n: x for n, x in license_scan.PASSAGES.items() if n in ("Zlib-full", "BSD-2-Clause-full", "ISC-full", "MIT-full")}
+    plain = [f"t{i}" for i in range(101)]
+    long["plain"] = " ".join(plain)
+    texts = []
+    w = list(plain)
+    for i in rng.sample(range(5, 95), 7):
+        w[i] = f"x{i}"
+    texts.append(" ".join([*w[:52], *(f"n{i}" for i in range(6)), *w[52:], *(f"z{i}" for i in range(16)), "t1 t2"]))
+    for _ in range(14):
+        w = rng.choice(sorted(long.values())).split(" ")
+        for _ in range(rng.randrange(len(w) // 9 + 1)):
+            w[rng.randrange(len(w))] = rng.choice(VOCAB)
+        at = rng.randrange(len(w))
+        w[at:at] = prose(rng.randrange(30), rng).split(" ")
+        tail = rng.choice([[], w[3:9], w, w[20:70]])
+        texts.append(" ".join(prose(rng.randrange(1, 8), rng).split(" ") + w + prose(rng.randrange(1, 20), rng).split(" ") + tail))
+    got = defaultdict(list)
+    for r in license_scan.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=long).collect():
+        got[r.doc_id].append((r.licence, r.first_word, r.n_words, r.n_shared, r.n_window))
+    want = {i: _picked(x, long) for i, x in enumerate(texts)}
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+    assert len(got) > 8 and len(want[0]) == 1
+
+
+def test_many_notices_in_one_text(spark):
+    """Thousands of notices, back to back and apart: each once."""
+    text = "Released under the MIT License. " * 3_000 + " ".join(f"w{i} Licensed under CC BY 4.0." for i in range(1_000))
+    began = time.time()
+    got = license_scan.passages(spark.createDataFrame([(1, text)], "doc_id long, text string")).groupBy("licence").count().collect()
+    assert {r.licence: r["count"] for r in got} == {"MIT": 3_000, "CC-BY-4.0": 1_000} and time.time() - began < 120
+
+
 def test_line_dedup(spark, nasty):
     shared, rows = "This very line stands everywhere.", []
     for i in range(12):

@@ -7,12 +7,16 @@ it happens inside the row; there is no shuffle.
 
 ``passages`` looks at windows of the whole text's words, across line ends and inside lines. A window loses nothing by
 being cut back to its first and last bigram of the template, so only windows between two such bigrams are scored, and
-only from a start that has as many of them within reach as the bound on |A & B| needs: every such window for templates of
-up to ``SHORT`` bigrams, for full licences those of 1, 5/4 and 3/2 template lengths. ``scan`` is a plainer form that SQL
-can say: single lines. A text without one of a few anchor words, without which no template can be reached, is passed over.
+only from a start that has as many of them within reach as the bound on |A & B| needs. From each start one fold goes over
+every end within reach, notices and full licences alike, with running counts of distinct bigrams: a bigram is new to a
+window if it was last met before the window's start. A window that scores no more than a shorter one of the same start is
+left out, as the shorter one is free wherever it is. ``scan`` is a plainer form that SQL can say: single lines. A text
+without one of a few anchor words, without which no template can be reached, is passed over.
 
 Defined cases: null and empty texts have no lines with two words and give nothing; of templates with equal scores the
-first name wins; repeated rows each give their rows; other columns are not read; an empty table gives an empty result.
+first name wins; repeated rows each give their rows; a window has at most (2 - t) / t times a template's bigrams, counted
+with repeats; texts of any length are read whole, the work growing with their words and, around template bigrams, with the
+reach; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,8 +72,7 @@ PASSAGES = TEMPLATES | {
 }
 
 
-#: Templates of up to so many bigrams are compared with every window.
-SHORT = 64
+_FOLD = "struct<shared:int,within:int,minus:double,less:int,found:array<struct<minus:double,less:int,b:int,within:int>>>"
 _FOUND = "array<struct<minus:double,less:int,licence:string,first:int,last:int,within:int,size:int>>"
 
 
@@ -144,6 +147,25 @@ def _chosen_anchors(known: list, t: int) -> list[str]:
     return sorted(chosen)
 
 
+def _met_before(xs: Column | str) -> Column:
+    """Of every element the place at which it was met before, else -1."""
+    keyed = F.array_sort(F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    last = lambda s: F.transform(s, lambda y, k: F.struct(y["i"].alias("i"), F.when((k > 0) & F.get(s, k - 1)["x"].eqNullSafe(y["x"]), F.get(s, k - 1)["i"]).otherwise(-1).alias("last")))
+    return F.transform(F.array_sort(let(keyed, last)), lambda y: y["last"])
+
+
+def _apart(found: Column, n_words: Column, widest: int) -> Column:
+    """Of sorted windows those that overlap none kept before; kept ones lie in blocks of the widest window, so few are compared."""
+    none = F.array().cast(_FOUND)
+    blocks = F.array_repeat(none, F.floor(n_words / widest).cast("int") + 2)
+    block = lambda p: F.floor(p / widest).cast("int")
+    clash = lambda held, x: F.exists(held, lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"]))
+    near = lambda kept, x: [F.coalesce(F.get(kept, block(x["first"]) + d), none) for d in (-1, 0, 1)]
+    free = lambda kept, x: ~reduce(or_, (clash(held, x) for held in near(kept, x)))
+    put = lambda kept, x: F.transform(kept, lambda held, i: F.when(i == block(x["first"]), F.concat(held, F.array(x))).otherwise(held))
+    return F.aggregate(found, blocks, lambda kept, x: F.when(free(kept, x), put(kept, x)).otherwise(kept), F.flatten)
+
+
 def passages(docs: DataFrame, min_percent: int = 80, templates: dict[str, str] = PASSAGES) -> DataFrame:
     """doc_id, line_no (where it begins, from 0), first_word, n_words, licence, n_shared, n_window, n_template, dice of the passages of whole texts.
 
@@ -180,35 +202,49 @@ def passages(docs: DataFrame, min_percent: int = 80, templates: dict[str, str] =
     rows = F.filter(F.array(*map(possible, known)), lambda r: F.size(F.array_intersect("met", r["b"])) >= r["need"])
     d = once(d, "near", rows).drop("met").where(F.size("near") > 0)
 
+    d = once(d, "since", _met_before("grams"))
+
     def windows(r: Column) -> Column:
-        def of(h: Column) -> Column:
-            """h: the hits that are the template's, in order."""
-            last_of = lambda a, reach: F.filter(F.sequence(a + r["need"] - 1, F.least(a + reach, F.size(h)) - 1), lambda b: F.get(h, b)["p"] - F.get(h, a)["p"] < reach)
-
-            def score(a: Column, b: Column) -> Column:
-                first, last = F.get(h, a)["p"], F.get(h, b)["p"]
-                shared = F.size(F.array_distinct(F.transform(F.slice(h, a + 1, b - a + 1), lambda x: x["g"])))
-                within = F.size(F.array_distinct(F.slice("grams", first + 1, last - first + 1)))
-                dice = 2.0 * shared / (within + r["size"])
-                return F.struct((-dice).alias("minus"), (-shared).alias("less"), r["licence"].alias("licence"), first.alias("first"), (last + 1).alias("last"), within.alias("within"), r["size"].alias("size"))
-
-            starts = F.filter(F.sequence(F.lit(0), F.size(h) - r["need"]), lambda a: F.get(h, a + r["need"] - 1)["p"] - F.get(h, a)["p"] < F.floor((200 - t) * r["size"] / t))
-            # of short templates every window; else windows of 1, 5/4 and 3/2 template lengths, cut back to the last bigram of the template
-            every_end = lambda a: F.filter(F.sequence(a + r["need"] - 1, F.least(a + F.floor((200 - t) * r["size"] / t).cast("int"), F.size(h)) - 1), lambda b: F.get(h, b)["p"] - F.get(h, a)["p"] < F.floor((200 - t) * r["size"] / t))
-            reaches = F.array(r["size"], F.floor(r["size"] * 5 / 4).cast("int"), F.floor((200 - t) * r["size"] / t).cast("int"))
-            ends = lambda a: F.when(r["size"] <= SHORT, every_end(a)).otherwise(three(a))
-            three = lambda a: F.array_distinct(F.filter(F.transform(reaches, lambda reach: F.array_max(last_of(a, reach))), lambda b: b.isNotNull()))
-            found = F.flatten(F.transform(starts, lambda a: F.transform(ends(a), lambda b: score(a, b))))
-            return F.filter(found, lambda x: -200 * x["less"] >= t * (x["within"] + x["size"]))
+        reach = F.floor((200 - t) * r["size"] / t).cast("int")
+
+        def of(h: Column, before: Column) -> Column:
+            """h: the hits that are the template's, in order, before: where the same bigram was hit last."""
+            at = lambda k: F.get(h, k)["p"]
+
+            def ends(a: Column) -> Column:
+                """The windows from hit a that score more than every shorter one."""
+                first, start = at(a), F.lit(None).cast("double")
+
+                def longer(s: Column, b: Column) -> Column:
+                    # all bigrams since the last end, each new if it was met last before the window
+                    step = F.slice("since", F.when(b > a, at(b - 1) + 2).otherwise(first + 1), F.when(b > a, at(b) - at(b - 1)).otherwise(1))
+                    shared = s["shared"] + F.when(F.get(before, b) < a, 1).otherwise(0)
+                    within = s["within"] + F.size(F.filter(step, lambda q: q < first))
+
+                    def told(x: Column) -> Column:
+                        better = (200 * x["shared"] >= t * (x["within"] + r["size"])) & (s["minus"].isNull() | (x["minus"] < s["minus"]) | ((x["minus"] == s["minus"]) & (-x["shared"] < s["less"])))
+                        one = F.struct(x["minus"].alias("minus"), (-x["shared"]).alias("less"), b.alias("b"), x["within"].alias("within"))
+                        keep = lambda new, old: F.when(better, new).otherwise(old)
+                        return F.struct(x["shared"].alias("shared"), x["within"].alias("within"), keep(x["minus"], s["minus"]).alias("minus"), keep(-x["shared"], s["less"]).alias("less"), keep(F.concat(s["found"], F.array(one)), s["found"]).alias("found")).cast(_FOLD)
+
+                    counted = let(F.struct(shared.alias("shared"), within.alias("within")), lambda c: F.struct(c["shared"].alias("shared"), c["within"].alias("within"), (-2.0 * c["shared"] / (c["within"] + r["size"])).alias("minus")))
+                    return let(counted, told)
+
+                near = F.filter(F.sequence(a, F.least(a + reach, F.size(h)) - 1), lambda b: at(b) - first < reach)
+                empty = F.struct(F.lit(0).alias("shared"), F.lit(0).alias("within"), start.alias("minus"), F.lit(None).cast("int").alias("less"), F.array().cast("array<struct<minus:double,less:int,b:int,within:int>>").alias("found")).cast(_FOLD)
+                found = F.aggregate(near, empty, longer, lambda s: s["found"])
+                return F.transform(found, lambda x: F.struct(x["minus"].alias("minus"), x["less"].alias("less"), r["licence"].alias("licence"), first.alias("first"), (at(x["b"]) + 1).alias("last"), x["within"].alias("within"), r["size"].alias("size")))
+
+            starts = F.filter(F.sequence(F.lit(0), F.size(h) - r["need"]), lambda a: at(a + r["need"] - 1) - at(a) < reach)
+            return F.flatten(F.transform(starts, ends)).cast(_FOUND)
 
         own = F.filter("hits", lambda x: F.array_contains(r["b"], x["g"]))
-        return F.flatten(F.transform(F.array(own), lambda h: F.when(F.size(h) >= r["need"], of(h)).otherwise(F.array().cast(_FOUND))))
+        none = F.array().cast(_FOUND)
+        return let(own, lambda h: F.when(F.size(h) >= r["need"], let(_met_before(F.transform(h, lambda x: x["g"])), lambda before: of(h, before))).otherwise(none))
 
     d = once(d, "found", F.array_sort(F.flatten(F.transform("near", windows)))).select("doc_id", "sizes", "found").where(F.size("found") > 0)
-    none = F.array().cast(_FOUND)
-    free = lambda kept, x: ~F.exists(kept, lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"]))
-    kept = F.aggregate("found", none, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    d = d.select("doc_id", "sizes", F.explode(kept).alias("x"))
+    d = once(d, "kept", _apart(F.col("found"), F.aggregate("sizes", F.lit(0), lambda n, m: n + m), max(len(r["b"]) for r in known) * (200 - t) // t + 2))
+    d = d.select("doc_id", "sizes", F.explode("kept").alias("x"))
     line = F.aggregate("sizes", F.struct(F.lit(0).alias("line"), F.lit(0).alias("words")), lambda a, n: F.struct((a["line"] + (a["words"] + n <= F.col("x.first")).cast("int")).alias("line"), (a["words"] + n).alias("words")))
     long = lambda c, name: c.cast("long").alias(name)
     x = lambda f: F.col(f"x.{f}")
