@@ -60,6 +60,18 @@ def test_quality_rules(nasty):
     assert quality_rules.clean(nasty.limit(0)).count() == 0
 
 
+def test_lines_of_all_scripts(spark):
+    """Prose lines stay and menu entries go, whatever marks or spaces a script has."""
+    good = [
+        "यह एक पूरा वाक्य है।", "هل هذه جملة كاملة؟", "Սա ամբողջական նախադասություն է։", "これは完全な文です。", "这是一个没有结束标点但是足够长的中文句子因此它应该留在文本里面",
+        "นี่คือประโยคภาษาไทยที่ยาวพอสมควรและไม่มีเครื่องหมายวรรคตอน", "She said “yes.”", "(as above)", "Quoi ?", "a b c d e f g h i j k l",
+    ]
+    bad = ["首页", "หน้าแรก", "मुख्य पृष्ठ", "الصفحة الرئيسية", "Home", "See chapter 4 *", "100 %", "start here •", "a | b | c | d", "Read more."]
+    rows = spark.createDataFrame([(x,) for x in good + bad], "line string")
+    fails = {r.line: r.fails for r in rows.select("line", quality_rules.line_fails(F.col("line"), quality_rules.Rules()).alias("fails")).collect()}
+    assert [x for x in good if fails[x]] == [] and [x for x in bad if not fails[x]] == []
+
+
 def test_license_scan(spark, nasty):
     rows = [(1, "Intro.\nReleased under the MIT License.\nReleased under the MIT License"), (2, "licensed under CC BY-NC 4.0!"), (3, "Released by nobody under a tree")]
     got = {(r.doc_id, r.line_no): (r.licence, r.dice) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

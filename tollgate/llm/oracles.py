@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import TEMPLATES
-from .quality_rules import BOILERPLATE
+from .quality_rules import BOILERPLATE, LETTERS_A_WORD, LINE_END, NO_END, UNSPACED
 
 SQL: dict[str, str] = {}
 
@@ -22,8 +22,8 @@ good as (
   select rid, list_filter(uniq, lambda x: not (
       len(regexp_extract_all(x, '\||\x{{00BB}}|\x{{203A}}| > ')) > 2
       or 100 * len(regexp_extract_all(x, '[#*$%&|<>]')) > 10 * length(x)
-      or (not regexp_matches(x, '[.!?:;,\x{{2026}}\x{{3002}}\x{{FF01}}\x{{FF1F}}"''\x{{201D}}\x{{2019}}\x{{00BB}})\]}}][\x20\x09-\x0D]*$')
-          and len(regexp_split_to_array(trim(x, ' '), ' +')) < 12)
+      or (not (regexp_matches(x, '{LINE_END}') and not regexp_matches(x, '{NO_END}')) and len(regexp_split_to_array(trim(x, ' '), ' +')) < 12
+          and len(regexp_split_to_array(trim(x, ' '), ' +')) + len(regexp_extract_all(x, '[{"".join(rf"\p{{{x}}}" for x in UNSPACED)}]')) // {LETTERS_A_WORD} < 12)
       or {_FURNITURE})) as good
   from firsts),
 counted as (

@@ -4,7 +4,8 @@ Everything is computed inside the row with built-in functions, so the job is one
 and a cost that follows the text alone.
 
 Defined cases: a null text has no words, no lines and fails the base rules; an empty text likewise; repeated rows are
-judged one by one; columns other than ``doc_id`` and ``text`` are not read, so clashing names do no harm; an empty
+judged one by one; a share exactly at a limit passes; of equal lines the first counts; texts of any length are judged
+whole, in memory that follows the longest; columns other than ``doc_id`` and ``text`` are not read, so clashing names do no harm; an empty
 table gives an empty result.
 """
 
@@ -33,8 +34,13 @@ BOILERPLATE = (
     "terms of use",
 )
 SYMBOLS = "[#*$%&|<>]"
-#: A line ends well if its last visible character closes a sentence, a quotation or an enumeration.
-LINE_END = r"[.!?:;,…。！？\"'”’»)\]}][\x20\x09-\x0D]*$"
+#: A line ends well if its last visible character closes a sentence, a quotation or an enumeration, in any script: Unicode's
+#: punctuation but for opening brackets, dashes and signs that stand in for words or start list items.
+LINE_END = r"[\p{Po}\p{Pe}\p{Pf}\p{Pi}][\x20\x09-\x0D]*$"
+NO_END = r"[#%&*@/\\§¶†‡•·‧・][\x20\x09-\x0D]*$"
+#: Scripts written without spaces; two of their letters count as a word.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+LETTERS_A_WORD = 2
 
 
 @dataclass(frozen=True)
@@ -74,7 +80,10 @@ def line_fails(line: Column, rules: Rules) -> Column:
     navigation = F.regexp_count(line, F.lit(r"\||»|›| > ")) > rules.max_separators
     symbols = 100 * F.regexp_count(line, F.lit(SYMBOLS)) > rules.max_symbols_percent * F.length(line)
     # a short line without closing punctuation is a menu entry or a heading; a long one is prose that was cut off
-    unfinished = ~line.rlike(LINE_END) & (F.size(F.split(F.trim(line), " +")) < rules.long_line_words)
+    ends = line.rlike(LINE_END) & ~line.rlike(NO_END)
+    unspaced = F.regexp_count(line, F.lit("[" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "]"))
+    parts = F.size(F.split(F.trim(line), " +"))
+    unfinished = ~ends & (parts < rules.long_line_words) & (parts + F.floor(unspaced / LETTERS_A_WORD) < rules.long_line_words)
     furniture = F.lit(False)
     for phrase in BOILERPLATE:
         furniture = furniture | low.contains(phrase)
