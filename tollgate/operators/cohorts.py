@@ -356,6 +356,16 @@ def locus_impact(rows: DataFrame, new: DataFrame, loci: DataFrame) -> DataFrame:
     return impact_estimate(at).select("candidate_id", F.round("value", 2).alias("impact"), F.round("low", 2).alias("impact_low"), F.round("high", 2).alias("impact_high"))
 
 
+def locus_coverage(tested: DataFrame, new: DataFrame, loci: DataFrame) -> DataFrame:
+    """candidate_id and locus_coverage: the share of the change that the locus explains, by its own place among the top cohorts or
+    that of the first which holds all its pairs; 1 for the whole scope."""
+    known = tested.select("candidate_id", "cohort", "coverage").unionByName(new.select("candidate_id", "cohort", "coverage")).groupBy("candidate_id", "cohort").agg(F.first("coverage").alias("coverage"))
+    top = rank_top_cohorts(tested, new).join(known, ["candidate_id", "cohort"])
+    met = loci.where("locus != ''").select("candidate_id", "locus").join(top, "candidate_id").where(F.size(F.array_except(F.split("locus", ","), F.split("cohort", ","))) == 0)
+    share = met.groupBy("candidate_id").agg(F.min_by("coverage", F.struct(F.col("cohort") != F.col("locus"), "nth")).alias("c"))
+    return loci.join(share, "candidate_id", "left").select("candidate_id", F.when(F.col("locus") == "", 1.0).otherwise(F.col("c")).alias("locus_coverage"))
+
+
 def evidence_bundle(found: DataFrame) -> DataFrame:
     """Adds bundle: one JSON document a candidate, each part with its epistemic label; an error above 8,192 bytes."""
     kind = lambda c, label: F.struct(c.alias("value"), F.lit(label).alias("epistemic"))
@@ -386,7 +396,8 @@ def analyze(norm: DataFrame, cand: DataFrame, metric: str, version: int, grain:
         if metric == "attempt_volume":
             labels = change_label(rows, new, near.where("metric = 'authorization_rate'"))
     ordered = lambda df, name: df.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("nth", "cohort")))["cohort"].alias(name))
-    parts = (labels, loci, ordered(rank_top_cohorts(tested, new), "top"), ordered(controls(tested, loci), "calm"), items, locus_impact(rows, new, loci))
+    moved = tested.groupBy("candidate_id").agg(F.count_if("discovery").alias("discoveries"))
+    parts = (labels, loci, moved, locus_coverage(tested, new, loci), ordered(rank_top_cohorts(tested, new), "top"), ordered(controls(tested, loci), "calm"), items, locus_impact(rows, new, loci))
     return reduce(lambda a, b: a.join(b, "candidate_id", "left"), parts, cand)
 
 

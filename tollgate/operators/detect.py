@@ -335,6 +335,29 @@ def concurrent_at(cand: DataFrame) -> DataFrame:
     return met.groupBy(F.col("at_id").alias("anomaly_id")).agg(F.sort_array(F.collect_set("anomaly_id")).alias("others"))
 
 
+def counted_up_to(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (id, t) with n, the number of points (t) at or before t: a sweep inside days, with what earlier days hold carried over."""
+    day = F.floor(F.col("t") / DAY).alias("day")
+    every = points.select("t", F.lit(0).alias("ask"), F.lit(None).cast("string").alias("id")).unionByName(asked.select("t", F.lit(1).alias("ask"), "id")).select("*", day)
+    days = every.groupBy("day").agg(F.count_if(F.col("ask") == 0).alias("own"))
+    before = days.select("day", F.coalesce(F.sum("own").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a day
+    swept = every.withColumn("n", F.count_if(F.col("ask") == 0).over(W.partitionBy("day").orderBy("t", "ask").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return swept.where("ask = 1").join(before, "day").select("id", (F.col("n") + F.col("before")).alias("n"))
+
+
+def concurrent_counts(cand: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """id and concurrent: how many other candidates were known at a time and open since the window began, without listing them.
+
+    asked: id, anomaly_id, since (the window's begin) and at; each candidate at its own detection if not given. Whatever was
+    over by ``since`` was known by ``at``, so it is the difference of two counts.
+    """
+    live = decidable(cand)
+    asked = live.select(F.col("anomaly_id").alias("id"), "anomaly_id", F.col("window_start").alias("since"), F.col("detected_at").alias("at")) if asked is None else asked
+    known = counted_up_to(live.select(F.col("detected_at").alias("t")), asked.select("id", F.col("at").alias("t")))
+    over = counted_up_to(live.where("recovered_at is not null").select(F.col("recovered_at").alias("t")), asked.select("id", F.least("since", "at").alias("t")))
+    return known.join(over.withColumnRenamed("n", "over"), "id").select("id", (F.col("n") - F.col("over") - 1).alias("concurrent"))
+
+
 def detect(norm: DataFrame, start: int, end: int, system: str = "main", series: Sequence[Series] = SERIES, limits: Limits = LIMITS) -> DataFrame:
     """The whole detector, ``main`` or ``static``."""
     long = materialized(monitored_series(norm, start, end, series), "series")
