@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialized
 from . import metrics as m
+from .detect import stable_id
 
 DAY = 86_400
 #: Fixed values.
@@ -140,7 +141,7 @@ def decompose(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rate_part", rate).withColumn("composition_part", mix)
 
 
-def tested_cohorts(rows: DataFrame) -> DataFrame:
+def tested_cohorts(rows: DataFrame, q: float = BH_Q) -> DataFrame:
     """Supported cohorts with z, p, discovery, q and coverage of their candidate's change."""
     with_phi = decompose(rows).join(phi_reference_days(rows), ["candidate_id", "combination"], "left").fillna(1.0, ["phi"])
     count = F.col("kind") == "count"
@@ -149,7 +150,7 @@ def tested_cohorts(rows: DataFrame) -> DataFrame:
     total = F.sum(F.col("rate_part") + F.col("composition_part")).over(W.partitionBy("candidate_id", "combination"))
     t = with_phi.withColumn("z", z).withColumn("total", total).where(supported & F.col("z").isNotNull())
     toward = F.when(F.col("direction") == "down", -1.0).otherwise(1.0)
-    t = benjamini_hochberg(t.withColumn("toward", toward).withColumn("p", p_value(toward * F.col("z"))))
+    t = benjamini_hochberg(t.withColumn("toward", toward).withColumn("p", p_value(toward * F.col("z"))), q)
     return t.withColumn("coverage", F.when(F.col("total") != 0, F.col("rate_part") / F.col("total")).otherwise(0.0))
 
 
@@ -413,3 +414,28 @@ def analyze_candidates(norm: DataFrame, cand: DataFrame, world_start: int, world
     found = materialized(evidence_bundle(reduce(DataFrame.unionByName, (analyze(norm, of(k), *k, world_start, world_end) for k in kinds))), "analyses")
     linked = related_pairs(found.select("candidate_id", "metric", "window_start", "window_end", F.concat_ws(",", F.nullif("scope", F.lit("")), F.nullif("locus", F.lit(""))).alias("locus")))
     return found.join(linked.withColumnRenamed("related", "related_candidates"), "candidate_id", "left")
+
+
+#: The pairs of dimensions that the daily sweep looks at, and its false-discovery rate a day.
+SWEEP, SWEEP_Q, SWEEP_SERIES, MOST_EVIDENCE = (("psp", "customer_country"), ("customer_country", "payment_method_type")), 0.01, "S12", 48
+
+
+def cohort_sweep(norm: DataFrame, world_start: int, world_end: int, warmup_days: int = 3, combinations=SWEEP, q: float = SWEEP_Q, metric: str = "authorization_rate", version: int = 1) -> DataFrame:
+    """Candidates of cohorts whose rate dropped against the same days before, hidden from coarser series: every day after the
+    warm-up is a family of tests over all cohorts of the combinations, and consecutive days of one cohort are one candidate."""
+    spark = norm.sparkSession
+    days = spark.range(world_start + warmup_days * DAY, world_end, DAY).select(F.concat(F.lit("day_"), "id").alias("candidate_id"), F.lit("down").alias("direction"), F.col("id").alias("window_start"), (F.col("id") + DAY).alias("window_end"))
+    rows = materialized(pool_before_during(cohort_tables(norm, days, metric, version, "1d", world_start, world_end, combinations), days, world_start), "sweep")
+    hits = tested_cohorts(rows, q).where("discovery").join(days.select("candidate_id", "window_start"), "candidate_id")
+    own = W.partitionBy("cohort").orderBy("window_start")
+    runs = hits.withColumn("island", F.col("window_start") - F.row_number().over(own) * DAY)
+    evidence = stable_id("evd_", F.lit(metric), F.lit(version), F.col("cohort"), F.lit("1d"), F.col("window_start"))
+    first = F.struct("window_start", "k_d", "n_d", "k_b", "n_b")
+    per = runs.groupBy("cohort", "island").agg(F.min(first).alias("f"), F.max("window_start").alias("last"), F.max(F.abs("z")).alias("score"), F.array_sort(F.collect_list(F.struct("window_start", evidence.alias("id")))).alias("days"))
+    observed, expected = F.col("f.k_d") / F.col("f.n_d"), F.col("f.k_b") / F.col("f.n_b")
+    return per.select(
+        stable_id("anom_", F.lit("main"), F.lit(SWEEP_SERIES), F.lit(metric), F.lit(version), F.col("cohort"), F.col("f.window_start")).alias("anomaly_id"), F.lit("main").alias("system"), F.lit(SWEEP_SERIES).alias("series"), F.lit(metric).alias("metric"), F.lit(version).alias("version"), F.lit("1d").alias("grain"),
+        F.col("cohort").alias("scope"), F.lit("down").alias("direction"), F.col("f.window_start").alias("window_start"), (F.col("last") + DAY).alias("window_end"), (F.col("f.window_start") + DAY).alias("detected_at"), F.round(observed, 6).alias("observed"), F.round(expected, 6).alias("expected"),
+        F.round(observed - expected, 6).alias("delta"), F.when(expected != 0, F.round((observed - expected) / expected, 6)).alias("relative_delta"), F.round("score", 3).alias("score"), F.col("f.n_d").cast("bigint").alias("sample_size"), F.array(F.lit("cohort_sweep")).alias("methods"),
+        F.slice(F.transform("days", lambda x: x["id"]), 1, MOST_EVIDENCE).alias("evidence_ids"),
+    )

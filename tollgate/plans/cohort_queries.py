@@ -49,15 +49,15 @@ def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.tested_cohorts(materialized(pooled(spark, sf_dir), "pooled"))
 
 
-def _sql(metric: str = "authorization_rate") -> str:
+def _sql(metric: str = "authorization_rate", rows: str = "", combinations: tuple = c.COMBINATIONS, q: float = c.BH_Q) -> str:
     r = m.request(metric, 1, START, END, "1d", c.dimensions(), visibility="window_close", dense=False)
     kind = "count" if metric in c.COUNT_METRICS else "rate"
-    rows = ", ".join(str(x) for x in ASKED)
+    rows = rows or "values " + ", ".join(str(x) for x in ASKED)
     named = lambda s: " || ',' || ".join(f"'{d}=' || {d}" for d in c.dimensions() if d in s)
     sets = " union all ".join(
-        f"select candidate_id, direction, lag, '{','.join(d for d in c.dimensions() if d in s)}' as combination, {named(s)} as cohort, cast(sum(numerator) as bigint) as n, cast(sum(denominator) as bigint) as d from met group by all" for s in c.COMBINATIONS
+        f"select candidate_id, direction, lag, '{','.join(d for d in c.dimensions() if d in s)}' as combination, {named(s)} as cohort, cast(sum(numerator) as bigint) as n, cast(sum(denominator) as bigint) as d from met group by all" for s in combinations
     )
-    return f"""with {NORM_SQL}, asked(candidate_id, direction, window_start, window_end) as (values {rows}), lags as (select unnest({[0, *c.LAGS]}) as lag),
+    return f"""with {NORM_SQL}, asked(candidate_id, direction, window_start, window_end) as ({rows}), lags as (select unnest({[0, *c.LAGS]}) as lag),
 cells as ({m.compute_sql(r)}),
 wins as (select candidate_id, direction, lag, unnest(range(window_start - lag * 86400, window_end - lag * 86400, 86400)) as window_start from asked, lags where window_start - lag * 86400 >= {START}),
 met as (select * from wins join cells using (window_start)),
@@ -82,7 +82,7 @@ zt as (select d.*, coalesce(phi, 1.0) as phi, case when direction = 'down' then
 zp as (select *, 1 / (1 + 0.2316419 * abs(z)) as t from zt where n_b >= {c.SUPPORT} and n_d >= {c.SUPPORT}),
 ps as (select *, case when toward * z >= 0 then tail else 1 - tail end as p from (select *, 0.3989422804014327 * exp(-z * z / 2) * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) as tail from zp)),
 bh as (select *, row_number() over (partition by candidate_id order by p, combination, cohort) as rank, count(*) over (partition by candidate_id) as of_ from ps),
-tested as (select *, coalesce(rank <= max(case when p <= {c.BH_Q} * rank / of_ then rank end) over (partition by candidate_id), false) as discovery,
+tested as (select *, coalesce(rank <= max(case when p <= {q} * rank / of_ then rank end) over (partition by candidate_id), false) as discovery,
     min(least(1.0, p * of_ / rank)) over (partition by candidate_id order by rank rows between current row and unbounded following) as q, case when total != 0 then rate_part / total else 0.0 end as coverage from bh)
 """
 
@@ -125,3 +125,10 @@ add("f17_f18_f23_analyze_candidates", analyses)
 add("f16_impact_estimate", lambda s, sf: _round(c.impact_estimate(tested(s, sf)), "value", "low", "high"), RATE + f"""select {KEYS}, round(v, 6) as value, round(v - 1.96 * sd, 6) as low, round(v + 1.96 * sd, 6) as high
 from (select *, toward * (rd - rb) * n_d as v, sqrt(phi * (rb * (1 - rb) / n_b + rd * (1 - rd) / n_d)) * n_d as sd from (select *, least(1.0, k_b / n_b) as rb, least(1.0, k_d / n_d) as rd from tested))""")
 add("f20_naive_locus", lambda s, sf: _round(c.naive_locus(tested(s, sf)), "move"), RATE + "select candidate_id, arg_min(cohort, {'m': -move, 'c': cohort}) as naive_locus, round(max(move), 6) as move from (select *, case when k_b > 0 then toward * (k_d / n_d - k_b / n_b) / (k_b / n_b) end as move from tested) where move > 0 group by 1")
+_DAYS = f"select 'day_' || t, 'down', t, t + 86400 from (select unnest(range({START} + 3 * 86400, {END}, 86400)) as t)"
+add("f21_cohort_sweep", lambda s, sf: c.cohort_sweep(norm(s, sf), START, END).withColumns({"methods": F.array_join("methods", ","), "evidence_ids": F.array_join("evidence_ids", ",")}), _sql(rows=_DAYS, combinations=c.SWEEP, q=c.SWEEP_Q) + f""", hits as (
+  select t.*, a.window_start as day, a.window_start - row_number() over (partition by cohort order by a.window_start) * 86400 as island from tested t join asked a using (candidate_id) where discovery),
+runs as (select cohort, min(day) as first, max(day) as last, max(abs(z)) as score, arg_min({{'k': k_d / n_d, 'b': k_b / n_b, 'n': n_d}}, day) as f,
+  array_to_string(list('evd_' || sha256('authorization_rate|1|' || cohort || '|1d|' || day)[1:16] order by day)[1:{c.MOST_EVIDENCE}], ',') as evidence_ids from hits group by cohort, island)
+select 'anom_' || sha256('main|S12|authorization_rate|1|' || cohort || '|' || first)[1:16] as anomaly_id, 'main' as system, 'S12' as series, 'authorization_rate' as metric, 1 as version, '1d' as grain, cohort as scope, 'down' as direction, first as window_start, last + 86400 as window_end, first + 86400 as detected_at,
+  round(f.k, 6) as observed, round(f.b, 6) as expected, round(f.k - f.b, 6) as delta, case when f.b != 0 then round((f.k - f.b) / f.b, 6) end as relative_delta, round(score, 3) as score, f.n::bigint as sample_size, 'cohort_sweep' as methods, evidence_ids from runs""")
