@@ -13,11 +13,11 @@ from ..operators import stream_of_incidents as st
 from .queries import END, START, add, norm
 
 
-def decided(spark: SparkSession, sf_dir: str, looks: bool) -> tuple[DataFrame, DataFrame]:
-    """Decisions by the states alone, as no answers are recorded, and the candidates they are of."""
+def decided(spark: SparkSession, sf_dir: str, looks: bool, source: str = "baseline") -> tuple[DataFrame, DataFrame]:
+    """Decisions by the states alone, as no answers are recorded, or all as incidents, and the candidates they are of."""
     events = materialized(norm(spark, sf_dir), "norm")
     cand = materialized(d.detect(events, START, END), "candidates")
-    return st.decide_all(events, cand, START, END, source="baseline", looks=looks), cand
+    return st.decide_all(events, cand, START, END, source=source, looks=looks), cand
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -31,8 +31,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From events to incidents: detected, analysed at every look, decided and folded."""
-    found, cand = decided(spark, sf_dir, True)
+    """From events to incidents: detected, analysed at every look, each taken as an incident, and folded."""
+    found, cand = decided(spark, sf_dir, True, "all")
     return h.incident_events(h.fold_incidents(st.incident_event_stream(found, cand))).drop("cause_kind", "cause_id")
 
 

@@ -81,8 +81,9 @@ def read_truth(spark: SparkSession, path: str, run_id: str) -> DataFrame:
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded answers by request hash; of several the last one read wins."""
-    lines = spark.read.text(path).select(F.get_json_object("value", "$.request_hash").alias("request_hash"), F.monotonically_increasing_id().alias("nth"), F.get_json_object("value", "$.response").alias("response"), F.get_json_object("value", "$.error").alias("error"))
+    """Recorded answers by request hash; of several the last line of the last file, by name, wins."""
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("nth"))
+    lines = lines.select(F.get_json_object("value", "$.request_hash").alias("request_hash"), "nth", F.get_json_object("value", "$.response").alias("response"), F.get_json_object("value", "$.error").alias("error"))
     return lines.groupBy("request_hash").agg(F.max_by(F.struct("response", "error"), "nth").alias("a")).select("request_hash", "a.response", "a.error")
 
 
@@ -111,8 +112,13 @@ def incidents_current(events: DataFrame) -> DataFrame:
 
 
 def next_seq(records: DataFrame, first_seq: int = 1) -> DataFrame:
-    """Numbers a run's decisions in order of time and id, from first_seq on."""
-    return records.withColumn("seq", F.row_number().over(W.partitionBy("run_id").orderBy("as_of", "candidate_id")) + (first_seq - 1))
+    """Numbers a run's decisions in order of time and id, from first_seq on: within days, each after those before it."""
+    day = F.floor(F.col("as_of") / 86_400)
+    days = records.groupBy("run_id", day.alias("day")).agg(F.count("*").alias("n"))
+    before = days.select("run_id", "day", F.coalesce(F.sum("n").over(W.partitionBy("run_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a day
+    nth = F.row_number().over(W.partitionBy("run_id", "day").orderBy("as_of", "candidate_id"))
+    numbered = records.withColumn("day", day).withColumn("nth", nth).join(before, ["run_id", "day"])
+    return numbered.select(*records.columns, (F.col("before") + F.col("nth") + (first_seq - 1)).alias("seq"))
 
 
 def raw_from_orders(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
