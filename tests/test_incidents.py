@@ -251,3 +251,29 @@ def test_snapshots(spark):
     assert last.count() == 1 and last.first().seq == len(rows)
     empty = h.fold_incidents(spark.createDataFrame([], h.EVENT))
     assert empty.count() == 0
+
+
+def test_stream_like_batch_over_restarts(spark, tmp_path):
+    """Three batches, each a query that goes on from the state of the last, give the rows of the batch fold; a late event is told."""
+    from tollgate.streaming.incidents import stream_incidents
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(21)
+    runs = {f"r{i}": _stream(rng, f"r{i}", H) for i in range(5)}
+    events = [e for es in runs.values() for e in es]
+    rng.shuffle(events)
+    want, _ = _spark_rows(spark, events, hysteresis=H)
+    times = sorted(e["time"] for e in events)
+    cuts = [-1, times[len(times) // 3], times[2 * len(times) // 3], times[-1]]
+    (tmp_path / "in").mkdir()
+    for low, high in zip(cuts, cuts[1:]):
+        part = [[e[n] for n in NAMES] for e in events if low < e["time"] <= high]
+        late = [[(look(0, "early", run="r0") | {"time": 0})[n] for n in NAMES]] if high == times[-1] else []
+        spark.createDataFrame(part + late, h.EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        found = stream_incidents(spark.readStream.schema(h.EVENT).parquet(str(tmp_path / "in")), hysteresis=H)
+        found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.run_id, r.candidate_id, r.kind) for r in rows if r.reason == "late"] == [("r0", "early", "detected")]
+    shape = {"event": ("incident_id", "seq", "time", "status", "actor", "reason"), "link": ("incident_id", "candidate_id", "time", "kind", "evidence"), "digest": ("group_id", "candidate_id", "time", "decision_id", "promoted_to"), "rejected": ("incident_id", "time", "kind", "reason")}
+    for run in runs:
+        assert sorted(((r.part, *(r[c] for c in shape[r.part])) for r in rows if r.run_id == run and r.reason != "late"), key=str) == want[run], run

@@ -126,6 +126,21 @@ class Fold:
         self.out: list[dict] = []
         self.step = self.ahead = 0
 
+    def state(self) -> dict:
+        """What has happened so far as plain containers, groups by their ids."""
+        kept = {c: getattr(self, c) for c in ("looks", "recovered", "through", "step", "ahead")}
+        return kept | {"groups": {gid: vars(g) for gid, g in self.groups.items()}, "near": list(self.near), "home": {c: g.gid for c, g in self.home.items()}}
+
+    def resume(self, state: dict) -> None:
+        """Goes on from a state."""
+        for gid, columns in state["groups"].items():
+            self.groups[gid] = _Group(gid, columns["incident"], columns["at"])
+            vars(self.groups[gid]).update(columns)
+        self.near = {gid: self.groups[gid] for gid in state["near"]}
+        self.home = {c: self.groups[gid] for c, gid in state["home"].items()}
+        for c in ("looks", "recovered", "through", "step", "ahead"):
+            setattr(self, c, state[c])
+
     # rules
 
     def _nests(self, a: frozenset, b: frozenset) -> bool:
@@ -344,6 +359,16 @@ def _folded(rules: dict):
 _SCHEMA = pa.schema([(c, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[t]) for c, t in (x.split() for x in _OUT.split(", "))])
 
 
+def ready(events: DataFrame, renewal_with_approval: bool = False) -> DataFrame:
+    """The columns of EVENT and island, with what the fold reads besides: places in the order of events, metric groups and ids."""
+    nth = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1
+    groups = metric_groups(F.col("metric"), F.col("direction"), renewal_with_approval)
+    own = [x.split()[0] for x in EVENT.split(", ")]
+    return events.select(
+        *own, "island", nth.cast("int").alias("nth"), F.coalesce("candidate_id", "incident_id").alias("by_id"), groups.alias("groups"), incident_id(F.col("candidate_id")).alias("as_incident"), digest_id(F.col("candidate_id")).alias("as_digest")
+    )
+
+
 def fold_incidents(events: DataFrame, gap: int = GAP, hysteresis: int = 0, mode: str = "pairs", ingestion_anchors: bool = False, renewal_with_approval: bool = False, parent_locus: bool = False) -> DataFrame:
     """The fold's rows in order (island, step): part event, link, digest or rejected, with that part's columns.
 
@@ -373,11 +398,7 @@ def fold_incidents(events: DataFrame, gap: int = GAP, hysteresis: int = 0, mode:
     addressed = asked.join(by_incident.select("run_id", "incident_id", F.col("candidate_id").alias("seed")), ["run_id", "incident_id"], "left")
     every = e.where("candidate_id is not null").withColumn("seed", F.col("candidate_id")).unionByName(addressed)
     every = every.join(of.select("run_id", F.col("candidate_id").alias("seed"), "island"), ["run_id", "seed"], "left").where("island is not null or candidate_id is null")
-    nth = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1
-    every = every.select(
-        *(c for c in e.columns), F.coalesce("island", F.lit("")).alias("island"), nth.cast("int").alias("nth"), F.coalesce("candidate_id", "incident_id").alias("by_id"), groups.alias("groups"),
-        incident_id(F.col("candidate_id")).alias("as_incident"), digest_id(F.col("candidate_id")).alias("as_digest"),
-    )
+    every = ready(every.withColumn("island", F.coalesce("island", F.lit(""))), renewal_with_approval)
     later = W.partitionBy("run_id", "island").orderBy(F.desc("time"), F.desc("nth"), F.desc("by_id")).rowsBetween(W.unboundedPreceding, W.currentRow)
     every = every.withColumn("ahead", F.coalesce(F.min(F.when(looks, F.col("start"))).over(later), F.lit(FOREVER)))
     ordered = every.repartition("run_id", "island").sortWithinPartitions("run_id", "island", "time", "nth", "by_id", "command", "target_id", "reason")

@@ -115,7 +115,7 @@ class _Scan(StatefulProcessor):
         if history:  # a list state can't be empty
             self.history.put([(z,) for z in history])
         self.now.update((last, total, flags, quiet, json.dumps(alarm) if alarm else None))
-        yield pd.DataFrame(list(out.values()), columns=_COLUMNS).astype({"recovered_at": "Int64"})
+        yield pd.DataFrame(list(out.values()), columns=_COLUMNS, dtype=object).astype({"recovered_at": "Int64"})
 
     def close(self) -> None:
         pass
