@@ -11,6 +11,7 @@ from ..operators import detect as d
 from ..operators import incidents as h
 from ..operators.context import lifecycle_check
 from ..sources.driver_tables import EPISODES_SQL, episodes_from_orders
+from ..streaming.incidents import stream_incidents
 from .queries import add
 
 RUNS = 24
@@ -106,6 +107,17 @@ def _lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle_check(rows.withColumn("incident_id", F.concat_ws("|", "run_id", "incident_id")))
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of all runs as a stream; files land in no order here, so one batch takes them."""
+    source = materialized(events(looks(spark, sf_dir)), "event-stream")
+    folder = source.inputFiles()[0].rsplit("/", 1)[0]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    found = stream_incidents(spark.readStream.schema(source.schema).parquet(folder))
+    found.writeStream.format("parquet").option("checkpointLocation", f"{folder}-state").outputMode("append").trigger(availableNow=True).start(f"{folder}-fold").awaitTermination()
+    return spark.read.schema(h._OUT).parquet(f"{folder}-fold").drop("island", "step", "cause_kind", "cause_id")
+
+
+add("s4_stream_incidents", _streamed)
 add("h3_fold_incidents", lambda s, sf: folded(s, sf)[0].drop("island", "step", "cause_kind", "cause_id"))
 add("h4_apply_commands", lambda s, sf: commanded(s, sf)[0].where("part in ('event', 'rejected')").select("part", "run_id", "incident_id", "seq", "time", "status", "actor", "kind", "reason"))
 add("h5_lifecycle_check", _lifecycle)
