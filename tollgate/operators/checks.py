@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialized
 from .normalize import MAPPED, UNMAPPED
 
 #: Fixed values.
@@ -127,10 +128,12 @@ def payload_checks(raw: DataFrame, column: str = "data") -> DataFrame:
 
 
 def norm_checks(norm: DataFrame, flat: DataFrame) -> DataFrame:
-    """The checks between normalized and raw events and within the normalized ones."""
+    """The checks between normalized and raw events and within the normalized ones; both are written once, as every check reads them."""
+    dims = ("customer_country", "issuer_country", "currency", "psp", "payment_method_type", "card_brand", "platform", "app_version", "plan_id", "channel")
+    norm = materialized(norm.select("event_id", "raw_event_id", "event_type", "occurred_at", "ingested_at", "attempt_no", *dims), "norm")
+    flat = materialized(flat.select("id", "type"), "raw_ids")
     raw_ids = flat.select(F.col("id").alias("raw_event_id"), "type").distinct()
     mapped, other = raw_ids.where(F.col("type").isin(*MAPPED)), raw_ids.where(F.col("type").isin(*UNMAPPED))
-    dims = ("customer_country", "issuer_country", "currency", "psp", "payment_method_type", "card_brand", "platform", "app_version", "plan_id", "channel")
     attempt = F.col("event_type").isin("payment.authorized", "payment.declined", "payment.failed")
     rules = norm.agg(
         F.count_if(reduce(lambda a, b: a | b, (F.col(d) == "" for d in dims))).alias("empty_dimension"), F.count_if(F.col("ingested_at") < F.col("occurred_at")).alias("delivered_before"), F.count_if(attempt & (F.col("attempt_no") == 0)).alias("attempt_without_number"),

@@ -30,39 +30,43 @@ INVOICE = ("invoice.created", "invoice.paid", "invoice.payment_failed")
 SUBSCRIPTION = ("customer.subscription.updated", "customer.subscription.deleted")
 
 
-def _before(key: str):
-    return W.partitionBy("run_id", key).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+def _over(key: str, kinds: tuple[str, ...]):
+    """An object's events of the kinds in order; every other row, keyless ones included, stands alone and so spreads evenly."""
+    part = _is(*kinds) & F.coalesce(F.col(key) != "", F.lit(False))
+    return W.partitionBy("run_id", F.when(part, F.col(key)), F.when(~F.coalesce(part, F.lit(False)), F.col("seq"))).orderBy("seq")
 
 
-def _where_known(raw: DataFrame, key: str, added: dict[str, Column], kinds: tuple[str, ...]) -> DataFrame:
-    """Adds window columns to rows of the kinds that have the key; the others, however many, stay out of the shuffle by key."""
-    part = _is(*kinds) & F.coalesce(F.col(key) != "", F.lit(False))
-    none = {n: F.lit(None).cast("string") for n in added}
-    return raw.where(part).withColumns(added).unionByName(raw.where(~part).withColumns(none))
+def _last_before(when: Column, value: Column, own) -> Column:
+    return F.last(F.when(when, value), ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, -1))
 
 
 def subscription_plans(raw: DataFrame) -> DataFrame:
     """Adds sub_plan: the plan that the subscription's latest earlier created event carries."""
-    last = F.last(F.when(_is("customer.subscription.created"), F.coalesce(F.nullif("plan", F.lit("")), F.lit(UNKNOWN))), ignorenulls=True).over(_before("subscription"))
-    return _where_known(raw, "subscription", {"sub_plan": last}, ("customer.subscription.created", *INVOICE))
+    own = _over("subscription", ("customer.subscription.created", *INVOICE))
+    return raw.withColumn("sub_plan", _last_before(_is("customer.subscription.created"), F.coalesce(F.nullif("plan", F.lit("")), F.lit(UNKNOWN)), own))
 
 
 def invoice_state(raw: DataFrame) -> DataFrame:
     """Adds invoice_plan (as of the invoice's last event) and invoice_psp (of the last renewal payment intent before)."""
-    plan = F.last(F.when(_is(*INVOICE), F.coalesce("sub_plan", F.lit(UNKNOWN))), ignorenulls=True).over(_before("invoice"))
-    psp = F.last(F.when(_is("payment_intent.created"), F.coalesce(F.nullif("psp", F.lit("")), F.lit(UNKNOWN))), ignorenulls=True).over(_before("invoice"))
-    return _where_known(raw, "invoice", {"invoice_plan": plan, "invoice_psp": psp}, ("payment_intent.created", *INVOICE, *SUBSCRIPTION))
+    own = _over("invoice", ("payment_intent.created", *INVOICE, *SUBSCRIPTION))
+    plan = _last_before(_is(*INVOICE), F.coalesce("sub_plan", F.lit(UNKNOWN)), own)
+    psp = _last_before(_is("payment_intent.created"), F.coalesce(F.nullif("psp", F.lit("")), F.lit(UNKNOWN)), own)
+    return raw.withColumns({"invoice_plan": plan, "invoice_psp": psp})
 
 
 def charge_state(raw: DataFrame) -> DataFrame:
     """Adds the payment intent's channel, plan and idempotency flag as of a charge, and the charge's attempt number."""
-    own = _before("payment_intent")
-    created = _is("payment_intent.created")
-    of = lambda c: F.last(F.when(created, c), ignorenulls=True).over(own)
-    known = _where_known(raw, "payment_intent", {"pi_channel": of(F.coalesce("channel", F.lit(""))), "pi_plan": of(F.coalesce("invoice_plan", F.lit(UNKNOWN))), "pi_key": of(F.when(F.col("idempotency_key").isNotNull(), "1").otherwise("0"))}, ("payment_intent.created", *CHARGE))
-    tried = _is(*CHARGE) & F.col("pi_channel").isNotNull()
-    nth = F.count_if(tried).over(W.partitionBy("run_id", "payment_intent").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    return known.where(tried).withColumn("attempt", nth).unionByName(known.where(~tried).withColumn("attempt", F.lit(0).cast("bigint")))
+    own, created = _over("payment_intent", ("payment_intent.created", *CHARGE)), _is("payment_intent.created")
+    known = raw.withColumns(
+        {
+            "pi_channel": _last_before(created, F.coalesce("channel", F.lit("")), own),
+            "pi_plan": _last_before(created, F.coalesce("invoice_plan", F.lit(UNKNOWN)), own),
+            "pi_key": _last_before(created, F.when(F.col("idempotency_key").isNotNull(), "1").otherwise("0"), own),
+        }
+    )
+    tried = F.coalesce(_is(*CHARGE) & F.col("pi_channel").isNotNull(), F.lit(False))
+    nth = F.count_if(tried).over(own.rowsBetween(W.unboundedPreceding, 0))
+    return known.withColumn("attempt", F.when(tried, nth).otherwise(F.lit(0).cast("bigint")))
 
 
 def failure_class(code: Column, reason: Column) -> Column:
