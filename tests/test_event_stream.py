@@ -64,6 +64,23 @@ def test_counts_of_concurrent_candidates(spark):
     assert set(got) == live and all(got[i] == listed.get(i, 0) for i in live)
 
 
+def test_concurrent_candidates_like_plain_python(spark):
+    """Lists of candidates of many days, some never over, some told of late; no shuffle carries a pair."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(250):
+        s = rng.randrange(60 * 96) * 900
+        at = s + rng.choice([900, 3_600, 86_400, 9 * 86_400, -86_400])
+        rows.append(_cand(f"c{i}", "", s, at, rng.choice([None, at + 900, at + 86_400, at + 30 * 86_400, at - 900])))
+    cand = spark.createDataFrame(rows, CAND)
+    live = [(r.anomaly_id, r.window_start, r.detected_at, 2**40 if r.recovered_at is None else r.recovered_at) for r in d.decidable(cand).collect()]
+    want = {a: sorted(o for o, ws, det, until in live if o != a and det <= at and until > since and ws < at) for a, since, at, _ in live}
+    found = d.concurrent_at(cand)
+    assert {r.anomaly_id: r.others for r in found.collect()} == {a: others for a, others in want.items() if others}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Aggregate" not in plan[: plan.index("Join")]  # the lists are whole when the join gives them
+
+
 def test_states_that_cannot_be_told(spark):
     cand = spark.createDataFrame([_cand("odd", "", 0, 3_600, None, metric="no_such_metric")], CAND).withColumn("as_of", F.col("detected_at")).withColumn("candidate_id", F.col("anomaly_id"))
     found = spark.createDataFrame([], "candidate_id string, label string, locus string, found_by string, discoveries bigint, locus_coverage double, calm array<string>, top array<string>, related array<struct<metric:string,before:double,during:double,z:double>>, impact double")

@@ -108,7 +108,7 @@ add("e11_candidate_rows", lambda s, sf: _flat(d.candidate_rows(episodes_from_ord
 add("e13_prefilter_low_volume", lambda s, sf: d.prefilter_low_volume(d.candidate_rows(episodes_from_orders(s, sf))).select("anomaly_id", "metric", "sample_size", "status", "reason"), f"with {EPISODES_SQL} select anomaly_id, metric, sample_size, status, reason from filtered")
 add("e14_link_parent", lambda s, sf: _linked(s, sf).select("anomaly_id", "metric", "scope", "parent_id"), f"with {EPISODES_SQL} select anomaly_id, metric, scope, parent_id from linked")
 add("e15_as_of_view", lambda s, sf: _flat(d.as_of_view(_linked(s, sf))), f"with {EPISODES_SQL}, seen as (select * replace (score_at_detection as score, methods_at_detection as methods, evidence_ids[1:1] as evidence_ids, detected_at as window_end, null::bigint as recovered_at, case status when 'recovered' then 'promoted' else status end as status) from linked) select {_FLAT}, reason from seen")
-add("e16_concurrent_at", lambda s, sf: d.concurrent_at(_linked(s, sf)).select("anomaly_id", F.size("others").alias("n"), F.md5(F.array_join("others", ",")).alias("others")), f"""with {EPISODES_SQL}, live as (select anomaly_id, window_start, detected_at, coalesce(recovered_at, 1099511627776) as until from linked where system = 'main' and status in ('promoted', 'recovered'))
+add("e16_concurrent_at", lambda s, sf: d.concurrent_at(d.prefilter_low_volume(d.candidate_rows(episodes_from_orders(s, sf)))).select("anomaly_id", F.size("others").alias("n"), F.md5(F.array_join("others", ",")).alias("others")), f"""with {EPISODES_SQL}, live as (select anomaly_id, window_start, detected_at, coalesce(recovered_at, 1099511627776) as until from linked where system = 'main' and status in ('promoted', 'recovered'))
 select c.anomaly_id, cast(count(*) as int) as n, md5(string_agg(o.anomaly_id, ',' order by o.anomaly_id)) as others from live c join live o on o.detected_at <= c.detected_at and o.until > c.window_start and o.window_start < c.detected_at and o.anomaly_id != c.anomaly_id group by 1""")
 add("e16_concurrent_counts", lambda s, sf: d.concurrent_counts(_linked(s, sf)), f"""with {EPISODES_SQL}, live as (select anomaly_id, window_start, detected_at, coalesce(recovered_at, 1099511627776) as until from linked where system = 'main' and status in ('promoted', 'recovered'))
 select c.anomaly_id as id, (select count(*) from live o where o.detected_at <= c.detected_at and o.until > c.window_start) - 1 as concurrent from live c""")
