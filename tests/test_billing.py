@@ -204,3 +204,31 @@ def test_replace_run_with_nothing(spark, tmp_path):
     for i in range(3):
         own = sorted((r.seq, r.id) for r in got if r.id.startswith(f"e{i}_"))
         assert [x[1] for x in own] == [f"e{i}_{j}" for j in range(4)]
+
+
+def test_first_fifty_near_however_many_there_are(spark):
+    """Deployments and status entries like plain Python, where hours hold far more than fifty; an onset meets a hundred places at most."""
+    import random
+
+    from tollgate.operators import context
+
+    rng = random.Random(9)
+    inc = [(f"i{i}", "a", t := rng.randrange(40_000), t + rng.choice((-9_000, 0, 3600, 90_000))) for i in range(40)]
+    deployed = [(f"d{i}", rng.choice(("ledger", "ledger", "other")), rng.choice((None, *[rng.randrange(50_000)] * 9))) for i in range(1500)]
+    schema = "incident_id string, psp string, onset long, as_of long"
+    got = context.deployments_near(spark.createDataFrame(inc, schema), spark.createDataFrame(deployed, "id string, service string, deployed_at long"))
+    want = set()
+    for i, _, onset, as_of in inc:
+        near = sorted((t, d, s) for d, s, t in deployed if s == "ledger" and t is not None and onset - 7_200 <= t <= min(onset + 7_200, as_of))
+        want |= {(i, d, s, t) for t, d, s in near[:50]}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert "place" in got._jdf.queryExecution().optimizedPlan().toString()
+    entries = [(f"s{i}", "a", p := rng.randrange(40_000), None if rng.random() < 0.3 else p + 10_800) for i in range(600)]
+    found = context.status_near(spark.createDataFrame(inc, schema), spark.createDataFrame(entries, "id string, psp string, posted_at long, resolved_at long"))
+    want = set()
+    for i, psp, onset, as_of in inc:
+        near = sorted((p, s, r) for s, q, p, r in entries if p <= as_of and (r is None or r >= onset - 21_600))
+        want |= {(i, s, psp, p, r if r is not None and r <= as_of else None) for p, s, r in near[:50]}
+    assert {tuple(r) for r in found.select("incident_id", "id", "psp", "posted_at", "resolved_at").collect()} == want
+    assert "enough" in found._jdf.queryExecution().optimizedPlan().toString()
