@@ -51,8 +51,10 @@ k as (select *, list_sort(refs)[len(refs) // 2 + 1] as mid, list_transform(refs,
 b as (select *, case when cut is null then refs else list_concat(refs[:cut - 1], refs[cut + 1:]) end as kept, list_sum(kept)::double / len(kept) as base, sqrt(list_sum(list_transform(kept, lambda x: (x - base) * (x - base))) / len(kept)) as sd from k),
 rev as (select incident_id, currency, observed_minor, round_even(base, 0)::bigint as baseline_minor, round_even(base - observed_minor, 0)::bigint as lost_minor, round_even(base - 1.96::double * sd - observed_minor, 0)::bigint as low, round_even(base + 1.96::double * sd - observed_minor, 0)::bigint as high from b)
 """
+# rounded half up as the decimal that a double reads as: round(double) multiplies first, and a product that falls just short of a half lands on it
+_ROUND = "round({}::double::varchar::decimal(38, 18), {})::double".format
 _SCALE = """greatest(1.0::double, ("end" - start) / 3600.0::double / 1.0::double)"""
 add("h9_revenue_baseline", lambda s, sf: _parts(s, sf)[1], BASE + "select * from rev")
 add("h10_incident_impact", _impact, BASE + f""", c as (select incident_id, string_agg(currency || '=' || observed_minor, ',' order by currency) as captured from rev group by 1)
-select incident_id, case when n > 1 then incident_id end as anchor, start, "end", round(("end" - start) / 3600.0::double, 2) as hours, 'psp=' || psp || case when both_ then ',customer_country=' || customer_country else '' end as cohort,
-{", ".join(f"case when n > 1 then round(n * {f}::double * {_SCALE}, 1) end as {c}" for f, c in ((1.0, "lost_payments"), (0.5, "lost_low"), (2.0, "lost_high")))}, 'not_provided' as lost_revenue, coalesce(captured, '') as captured_revenue_minor from t left join c using (incident_id)""")
+select incident_id, case when n > 1 then incident_id end as anchor, start, "end", {_ROUND('(("end" - start) / 3600.0::double)', 2)} as hours, 'psp=' || psp || case when both_ then ',customer_country=' || customer_country else '' end as cohort,
+{", ".join(f"case when n > 1 then {_ROUND(f"(n * {f}::double * {_SCALE})", 1)} end as {c}" for f, c in ((1.0, "lost_payments"), (0.5, "lost_low"), (2.0, "lost_high")))}, 'not_provided' as lost_revenue, coalesce(captured, '') as captured_revenue_minor from t left join c using (incident_id)""")
