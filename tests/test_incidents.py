@@ -277,3 +277,29 @@ def test_stream_like_batch_over_restarts(spark, tmp_path):
     shape = {"event": ("incident_id", "seq", "time", "status", "actor", "reason"), "link": ("incident_id", "candidate_id", "time", "kind", "evidence"), "digest": ("group_id", "candidate_id", "time", "decision_id", "promoted_to"), "rejected": ("incident_id", "time", "kind", "reason")}
     for run in runs:
         assert sorted(((r.part, *(r[c] for c in shape[r.part])) for r in rows if r.run_id == run and r.reason != "late"), key=str) == want[run], run
+
+
+def test_stream_makes_few_objects_at_a_time(monkeypatch):
+    """A run's events of a batch stay in columns: the fold's rows come in chunks, the same as in one."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from tollgate.streaming import incidents as stream
+
+    names = {x.split()[0]: x.split()[1] for x in h.EVENT.split(", ")} | {"island": "string", "nth": "int", "by_id": "string", "groups": "array<string>", "as_incident": "string", "as_digest": "string"}
+    look = lambda i: {"run_id": "r", "time": 100 * i, "kind": "detected", "candidate_id": f"c{i}", "metric": "refund_rate", "direction": "up", "start": 100 * i, "locus": [f"psp={i}"], "parent": [], "route": "INCIDENT", "verified": True, "decision_id": f"d{i}", "island": "", "nth": 0, "by_id": f"c{i}", "groups": ["refunds"], "as_incident": f"inc_{i}", "as_digest": f"dg_{i}"}
+    rows = pd.DataFrame([look(i) for i in reversed(range(25))], columns=list(names))
+
+    class Held:
+        get = lambda self: None
+        update = lambda self, value: None
+
+    def told(chunk):
+        monkeypatch.setattr(stream, "CHUNK", chunk)
+        run = stream._Run({"gap": 10, "hysteresis": 0, "mode": "pairs", "ingestion_anchors": False, "parent_locus": False}, stream.HORIZON, pa.schema([(n, stream._TYPES[t]) for n, t in names.items()]))
+        run.held = Held()
+        return list(run.handleInputRows(("r",), iter([rows[:10], rows[10:]]), None))
+
+    few, one = told(4), told(1_000)
+    assert len(few) == 7 and len(one) == 1
+    assert pd.concat(few, ignore_index=True).equals(one[0])
