@@ -1,6 +1,7 @@
 """Candidates and labelled records against plain Python, records of one day and of many blocks of days."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,16 @@ def test_records_are_not_broadcast_by_day(spark):
     cand, truth, world_end = _drawn(random.Random(7), 60)
     found = v.match_truth(spark.createDataFrame(cand, CANDIDATE), spark.createDataFrame(truth, RECORD), world_end)
     assert found.where(F.col("relation").isNotNull()).count() and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matches_are_not_broadcast_to_candidates(spark, tmp_path):
+    """Matches of open records repeat few keys: millions of them are a small file, and as a broadcast they filled the driver."""
+    cand, truth, world_end = _drawn(random.Random(7), 60)
+    c = spark.createDataFrame(cand, CANDIDATE)
+    t = spark.createDataFrame(truth, RECORD).withColumns({"expected_route": F.lit("incident"), "scenario_kind": F.lit("kind"), "oracle_detectable_at": F.col("start")})
+    v.match_truth(c, t, world_end).write.parquet(f"{tmp_path}/matches")
+    matches = spark.read.parquet(f"{tmp_path}/matches")
+    found = v.record_outcomes(c, t, matches, 0, world_end)
+    assert not re.search(r"BroadcastHashJoin \[anomaly_id", found._jdf.queryExecution().executedPlan().toString())
+    hits = {r: [x[5] for x in cand if (x[0], r, "affected") in set(map(tuple, matches.collect()))] for r, *_ in truth}
+    assert {r.record_key: (r.n_candidates, r.latency_s) for r in found.collect()} == {r: (len(hits[r]), min(hits[r]) - start if hits[r] else None) for r, start, *_ in truth}
