@@ -303,3 +303,24 @@ def test_stream_makes_few_objects_at_a_time(monkeypatch):
     few, one = told(4), told(1_000)
     assert len(few) == 7 and len(one) == 1
     assert pd.concat(few, ignore_index=True).equals(one[0])
+
+
+def _one_open(n):
+    """A run of n looks, of which the first never recovers and the others do; every third is on another provider than the first."""
+    for i in range(n):
+        look = {"run_id": "r", "island": "i", "candidate_id": f"c{i}", "by_id": f"c{i}", "groups": frozenset(["payments"]), "locus": frozenset([f"psp={i % 3}"]), "parent": frozenset(), "start": 900 * i, "ahead": 900 * i, "as_incident": f"i{i}", "as_digest": f"d{i}", "decision_id": "d", "route": "INCIDENT", "verified": True}
+        yield look | {"kind": "detected", "nth": 0, "time": 900 * i}
+        if i >= 3:
+            yield look | {"kind": "recovered", "nth": 2, "time": 900 * i + 1}
+
+
+def test_a_look_meets_a_kind_of_member_once(monkeypatch):
+    """A group that never ends grows with the run; its members aren't looked at one by one for every new candidate."""
+    met, real = [0], h.Fold._verdict
+    monkeypatch.setattr(h.Fold, "_verdict", lambda *a: (met.__setitem__(0, met[0] + 1), real(*a))[1])
+    fold = h.Fold(3600, 0, "pairs", False, False)
+    rows = [r for e in _one_open(900) for r in fold.apply(e)]
+    assert met[0] <= 3 * 900 and sum(r["part"] == "link" and r["kind"] == "join" for r in rows) == 897
+    again = h.Fold(3600, 0, "pairs", False, False)
+    again.resume(fold.state())
+    assert [(g.open, g.last, g.since, g.firsts()) for g in again.groups.values()] == [(g.open, g.last, g.since, g.firsts()) for g in fold.groups.values()]
