@@ -12,3 +12,13 @@ def test_stream_emits_what_batch_counts(spark):
     r = m.request("authorization_rate", 1, START, END, "1d", ["psp"], visibility="window_close", dense=False)
     want = {(x.window_start, x.psp): (x.numerator, x.denominator) for x in m.counts(norm(spark, SMALL), r).where(F.col("denominator") > 0).collect()}
     assert len(got) > 60 and all(want[k] == v for k, v in got.items())
+
+
+def test_replay_needs_no_sort(spark, monkeypatch):
+    """The rows are written as they come: a fixed number of sorted parts would grow with the input."""
+    from tollgate.plans import evaluate_queries as q
+
+    plans, write = [], q.materialized
+    monkeypatch.setattr(q, "materialized", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, label))[1])
+    q.streamed(spark, SMALL)
+    assert len(plans) == 1 and "Exchange" not in plans[0] and "Sort " not in plans[0]
