@@ -3,6 +3,7 @@
 import json
 import random
 
+from pyspark.sql import functions as F
 from twins import SMALL
 
 from tollgate.operators import reports as r
@@ -117,3 +118,23 @@ def test_reports_of_the_loop_may_be_shown(spark):
     status = r.investigation_status(known, r.validate_claims(claims, recorded))
     events = r.investigation_events(status).collect()
     assert len(events) == 2 * known.count() and {x.command for x in events} == {"start", "finish"}
+
+
+def test_fields_of_odd_payloads(spark):
+    """A number is a place of a list or a key of an object, in whatever quotes; without a parent nothing is there."""
+    cases = [
+        ('{"a":[{"b":1}]}', "a.0.b", "1", True), ('{"a":[{"b":1}]}', "a.1.b", None, False), ('{"a":{"0":{"b":2}}}', "a.0.b", "2", True), ('{"a":{"\\u0030":{"b":3}}}', "a.0.b", "3", True), ("{'a':{'0':{'b':4}}}", "a.0.b", "4", True),
+        ('{"a":{"0":null}}', "a.0", None, True), ('{"a":[null]}', "a.0", "null", True), ('{"0":5}', "0", "5", True), ('{"a":null}', "a.b", None, False), ('{"a":null}', "a", None, True), ('{"a":"0"}', "b.0.c", None, False), ("not json", "a", None, False), ('{"a":{"b":{"c":null}}}', "a.b.c", None, True),
+    ]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(cases)], "i int, payload string, path string, value string, there boolean")
+    value, there = r.field_at(F.col("payload"), F.col("path"))
+    got = df.select("i", value.alias("v"), there.alias("t")).orderBy("i").collect()
+    assert [(x.v, x.t) for x in got] == [x[2:] for x in cases]
+
+
+def test_a_fault_is_worked_out_once(spark):
+    """No filter repeats what the check reads from a payload, and payloads are sorted on one side of the shuffle only."""
+    claims = spark.createDataFrame([], f"investigation_id string, nth int, template string, slots {r.SLOT}, text string")
+    evidence = spark.createDataFrame([], "investigation_id string, evidence_id string, tool string, payload string, labels map<string,string>")
+    plan = r.validate_claims(claims, evidence)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("json_object_keys" in x or "JsonExpressionUtils" in x for x in plan) == 1

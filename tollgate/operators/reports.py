@@ -37,21 +37,30 @@ KEY = ("investigation_id", "evidence_id")
 def _unique(evidence: DataFrame) -> DataFrame:
     """One row an evidence id: ids stand for what was asked, so a repeated one says the same."""
     row = F.struct("tool", "payload", "labels")
-    one = evidence.where("evidence_id is not null").groupBy(*KEY).agg(F.min_by(row, F.struct("tool", "payload")).alias("e"))
+    # dealt first, so that whole payloads are sorted once and not on both sides of the shuffle
+    one = evidence.where("evidence_id is not null").repartition(*KEY).groupBy(*KEY).agg(F.min_by(row, F.struct("tool", "payload")).alias("e"))
     return one.select(*KEY, "e.*")
 
 
 def field_at(payload: Column, path: Column) -> tuple[Column, Column]:
-    """The value at a path like a.0.b (as JSON text, strings bare) and whether it is there: a null that is stated counts."""
+    """The value at a path like a.0.b (as JSON text, strings bare) and whether it is there: a null that is stated counts.
+
+    A path that differs by row is parsed for every row, so none is that can't matter: whether a field is there is asked of
+    its parent's keys first, and a number names a key only where the text holds it in quotes (or anything escaped).
+    """
     parts = F.split(path, r"\.")
     last = F.element_at(parts, -1)
     place = lambda p: F.concat(F.lit("$"), F.array_join(F.transform(p, lambda x: F.when(x.rlike(r"^\d+$"), F.concat(F.lit("["), x, F.lit("]"))).otherwise(F.concat(F.lit("['"), x, F.lit("']")))), ""))
     named = lambda p: F.concat(F.lit("$"), F.array_join(F.transform(p, lambda x: F.concat(F.lit("['"), x, F.lit("']"))), ""))
     get = lambda p: F.call_function("get_json_object", payload, p)
-    value = F.coalesce(get(place(parts)), get(named(parts)))
+    quoted = lambda x: F.contains(payload, F.concat(F.lit('"'), x, F.lit('"'))) | F.contains(payload, F.concat(F.lit("'"), x, F.lit("'")))
+    keyed = F.exists(parts, lambda x: x.rlike(r"^\d+$") & (quoted(x) | F.contains(payload, F.lit("\\"))))
+    value = F.coalesce(get(place(parts)), F.when(keyed, get(named(parts))))
     around = F.when(F.size(parts) == 1, payload).otherwise(get(place(F.slice(parts, F.lit(1), F.size(parts) - 1))))
-    null_there = F.array_contains(F.json_object_keys(around), last) | (last.rlike(r"^\d{1,9}$") & (last.try_cast("int") < F.json_array_length(around)))
-    return value, value.isNotNull() | F.coalesce(null_there, F.lit(False))
+    null_there = lambda x: F.array_contains(F.json_object_keys(x), last) | (last.rlike(r"^\d{1,9}$") & (last.try_cast("int") < F.json_array_length(x)))
+    # without a parent only a number that names a key can be there
+    there = F.get(F.transform(F.array(around), lambda x: F.coalesce(null_there(x), F.lit(False)) | F.when(x.isNotNull() | keyed, value.isNotNull()).otherwise(F.lit(False))), F.lit(0))
+    return value, there
 
 
 def _slots(*entries: tuple[Column, str, str]) -> Column:
@@ -155,7 +164,8 @@ def validate_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
         .when(own != F.col("label"), "label_differs")
         .when((F.col("label") == "estimated") & own.isNull(), "not_an_estimate")
     )
-    of_slots = slots.join(known, list(KEY), "left").withColumn("error", fault).where("error is not null").select("investigation_id", "nth", "slot", "error")
+    # exploded, as a filter on the fault would work it out a second time
+    of_slots = slots.join(known, list(KEY), "left").select("investigation_id", "nth", "slot", F.explode(F.array_compact(F.array(fault))).alias("error"))
     bare = F.when(F.coalesce(F.size("slots"), F.lit(0)) < 1, "no_evidence")
     silent = F.when(F.coalesce("text", F.lit("")) == "", "not_rendered")
     of_claims = claims.select("investigation_id", "nth", F.lit(None).cast("int").alias("slot"), F.explode(F.array_compact(F.array(bare, silent))).alias("error"))
