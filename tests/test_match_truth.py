@@ -71,3 +71,11 @@ def test_matches_are_not_broadcast_to_candidates(spark, tmp_path):
     assert not re.search(r"BroadcastHashJoin \[anomaly_id", found._jdf.queryExecution().executedPlan().toString())
     hits = {r: [x[5] for x in cand if (x[0], r, "affected") in set(map(tuple, matches.collect()))] for r, *_ in truth}
     assert {r.record_key: (r.n_candidates, r.latency_s) for r in found.collect()} == {r: (len(hits[r]), min(hits[r]) - start if hits[r] else None) for r, start, *_ in truth}
+
+
+def test_localized_matches_are_not_broadcast(spark):
+    """The matches of open records filled the driver as a broadcast to their candidates."""
+    from tollgate.plans import evaluate_queries, queries  # noqa: F401  the first registers
+
+    found = queries.QUERIES["j6_localization_class"](spark, "/root/testdata/sf0.001")
+    assert found.count() and not re.search(r"BroadcastHashJoin \[anomaly_id", found._jdf.queryExecution().executedPlan().toString())
