@@ -324,3 +324,28 @@ def test_a_look_meets_a_kind_of_member_once(monkeypatch):
     again = h.Fold(3600, 0, "pairs", False, False)
     again.resume(fold.state())
     assert [(g.open, g.last, g.since, g.firsts()) for g in again.groups.values()] == [(g.open, g.last, g.since, g.firsts()) for g in fold.groups.values()]
+
+
+def test_what_someone_joined_is_drawn_once(spark, monkeypatch):
+    """Chains of runs with merges were drawn anew, with all their islands, until none grew."""
+    drawn, real = [], h.materialized
+    monkeypatch.setattr(h, "materialized", lambda df, label: (drawn.append(label), real(df, label))[1])
+    fees, late = {"metric": "refund_rate", "direction": "up"}, {"metric": "late_arrival_share", "direction": "up"}
+    ends = lambda t, c: [told(t, "recovered", c)]
+    events = [look(H, "a1"), *ends(2 * H, "a1"), look(50 * H, "b1", start=49 * H, **fees), *ends(51 * H, "b1"), look(25 * H, "c1", start=24 * H, **late), *ends(26 * H, "c1"), look(200 * H, "d1", start=199 * H)]
+    events += [order(60 * H, "b1", "merge", target="a1"), look(61 * H, "b2", start=52 * H, **fees), *ends(62 * H, "b2")]
+    got, fold = _spark_rows(spark, events)
+    assert got["r"] == sorted(plain(events), key=str)
+    assert drawn.count("chains") == 1
+    # what the merge spans is one island, what lies after it another
+    assert fold.select("island").distinct().count() == 2
+
+
+def test_state_keeps_little_of_a_look():
+    """A run's state held every column of each last look."""
+    import pickle
+
+    fold = h.Fold(3600, 0, "pairs", False, False)
+    for e in _one_open(900):
+        fold.apply(e)
+    assert len(pickle.dumps(fold.state())) < 110 * 900
